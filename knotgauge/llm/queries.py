@@ -18,12 +18,56 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .knn_quality import fit_voters, held_out, quality_scores
+
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality_scores(docs, fit_voters(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_crf import fit_line_crf, quality_rules
+
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_line_crf(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_pack
 
     return best_fit_pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), CAPACITY, vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    mixed = mix_sources(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight FROM s),
+l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE)
+        - CAST(3 AS DOUBLE) * CAST(coalesce(sum(source_size) OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+        / CAST(sum(weight) OVER (u ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+      FROM w WINDOW u AS (ORDER BY CAST(source_size AS DOUBLE) / CAST(weight AS DOUBLE), source NULLS LAST)),
+t AS (SELECT source, source_size, least(CAST(3 AS DOUBLE) * CAST(source_size AS DOUBLE), max(level) OVER () * CAST(weight AS DOUBLE)) AS target FROM l),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / CAST(t.source_size AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS rate,
+        CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS coin
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(size * (CAST(floor(rate) AS BIGINT) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+"""
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(read_table(spark, sf_dir, "documents"), keep_media=False)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import group_near_duplicates
 
@@ -32,8 +76,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op9_simhash)}
+    return {f.__name__: f for f in (op1_quality_knn, op2_line_crf, op3_best_fit_packing, op5_source_mix, op6_media, op9_simhash)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_source_mix": OP5_SQL}
