@@ -68,6 +68,12 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read_table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import group_near_duplicates
 
@@ -75,8 +81,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data
+
+    return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_knn, op2_line_crf, op3_best_fit_packing, op5_source_mix, op6_media, op9_simhash)}
+    return {f.__name__: f for f in (op1_quality_knn, op2_line_crf, op3_best_fit_packing, op5_source_mix, op6_media, op7_suffix_repeats, op9_simhash, op10_skip_chain_pii)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
