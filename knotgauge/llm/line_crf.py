@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -204,8 +205,6 @@ def quality_rules(docs: DataFrame, crf: LineCrf, least_share: float = 0.5) -> Da
 
 def keep_good(docs: DataFrame, crf: LineCrf, least_share: float = 0.5) -> DataFrame:
     """The documents that the rules keep, columns as they are. One pass: the verdict is a UDF over the text, nothing is joined."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:
         out = []

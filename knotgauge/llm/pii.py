@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -202,8 +203,6 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 def redact_personal_data(docs: DataFrame) -> DataFrame:
     """The documents with their spans redacted; n_chars, where there, follows the new text. Null text stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(redact, na_action="ignore")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import Scratch, read_table
 
 CAPACITY = 2048
 
@@ -39,6 +39,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), CAPACITY, vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import repair_roles
+
+    return repair_roles(read_table(spark, sf_dir, "conversations")).drop("at")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -74,6 +80,16 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op8_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import compact_documents
+
+    stored = compact_documents(read_table(spark, sf_dir, "documents"), Scratch(spark, "shards").root)
+    return stored.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"), (F.col("_shard_bytes") <= 64 << 20).alias("within_target"))
+
+
+OP8_SQL = "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, md5(text) AS text_md5, TRUE AS within_target FROM documents"
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import group_near_duplicates
 
@@ -87,9 +103,15 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_knn, op2_line_crf, op3_best_fit_packing, op5_source_mix, op6_media, op7_suffix_repeats, op9_simhash, op10_skip_chain_pii)}
+    return {f.__name__: f for f in (op1_quality_knn, op2_line_crf, op3_best_fit_packing, op4_chat_repair, op5_source_mix, op6_media, op7_suffix_repeats, op8_tiered_shards, op9_simhash, op10_skip_chain_pii, pipeline)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op5_source_mix": OP5_SQL}
+    return {"op5_source_mix": OP5_SQL, "op8_tiered_shards": OP8_SQL}
