@@ -1 +1,4 @@
+"""All registered queries."""
 
+from . import scoring  # noqa: F401
+from .registry import PLANS, TWINS  # noqa: F401
