@@ -33,11 +33,16 @@ def innermost_depth(points: DataFrame, at: Column, scopes: DataFrame) -> DataFra
 
 
 def source_bounds(tokens: DataFrame, ranges: DataFrame) -> DataFrame:
-    """file_id, ms, me (first and last meaningful byte), ss, se (their tokens). Without ranges, the tokens' own bounds."""
-    spans = tokens.groupBy("file_id").agg(F.min("start_byte").alias("_a"), F.max("end_byte").alias("_b"))
+    """file_id, ms, me (first and last meaningful byte), ss, se (their tokens), last_end (of token se - 1). Without ranges, the tokens' own bounds."""
     inner = ranges.groupBy("file_id").agg(F.min("start_byte").alias("_c"), F.max("end_byte").alias("_d"))
-    ends = spans.join(inner, "file_id", "left").select("file_id", F.coalesce("_c", "_a").alias("ms"), F.coalesce("_d", "_b").alias("me"))
-    return tokens.join(ends, "file_id").groupBy("file_id", "ms", "me").agg(F.count_if(F.col("end_byte") <= F.col("ms")).alias("ss"), F.count_if(F.col("start_byte") < F.col("me")).alias("se"))
+    inside = F.col("_d").isNull() | (F.col("start_byte") < F.col("_d"))
+    return tokens.join(inner, "file_id", "left").groupBy("file_id").agg(
+        F.coalesce(F.max("_c"), F.min("start_byte")).alias("ms"),
+        F.coalesce(F.max("_d"), F.max("end_byte")).alias("me"),
+        F.count_if(F.col("end_byte") <= F.col("_c")).alias("ss"),
+        F.count_if(inside).alias("se"),
+        F.max(F.when(inside, F.col("end_byte"))).alias("last_end"),
+    )
 
 
 def percentile_tau(tokens: DataFrame, percent: float) -> DataFrame:
@@ -62,12 +67,13 @@ def detect_units(tokens: DataFrame, lines: DataFrame, scopes: DataFrame, ranges:
     """file_id, seq, start_byte, end_byte, depth of the blocks (i01-i03, w04, j04, j05)."""
     bounds = source_bounds(tokens, ranges)
     order = Window.partitionBy("file_id").orderBy("boundary")
-    cuts = boundaries(tokens, lines, scopes, bounds, tau, mode, starts).withColumn("z", F.lead("boundary").over(order)).withColumn("_k", F.row_number().over(order)).where("z is not null")
+    found = boundaries(tokens, lines, scopes, bounds, tau, mode, starts)
+    by_file = Window.partitionBy("file_id").orderBy("idx")
+    edges = tokens.select("file_id", F.col("idx").alias("boundary"), F.col("start_byte").alias("ta"), F.lag("end_byte").over(by_file).alias("_before"))
+    cuts = found.join(edges, ["file_id", "boundary"], "left").withColumn("z", F.lead("boundary").over(order)).withColumn("_tz", F.lead("_before").over(order)).withColumn("_k", F.row_number().over(order)).where("z is not null")
     if mode == "reference":
         cuts = cuts.where("_k > 1 or mark")
-    first = tokens.select("file_id", F.col("idx").alias("boundary"), F.col("start_byte").alias("ta"))
-    last = tokens.select("file_id", (F.col("idx") + 1).alias("z"), F.col("end_byte").alias("tz"))
-    placed = cuts.join(first, ["file_id", "boundary"]).join(last, ["file_id", "z"]).join(bounds.select("file_id", "me"), "file_id").select("file_id", "boundary", "ta", "tz", "me")
+    placed = cuts.join(bounds.select("file_id", "me", "se", "last_end"), "file_id").select("file_id", "boundary", "ta", F.when(F.col("z") == F.col("se"), F.col("last_end")).otherwise(F.col("_tz")).alias("tz"), "me")
     some = ranges.select("file_id").distinct().withColumn("_some", F.lit(True))
     near = as_of(placed, F.col("ta"), ranges.select("file_id", F.col("start_byte").alias("rs"), F.col("end_byte").alias("re")), F.col("re"), ["rs"], forward=True, strict=True)
     near = near.join(some, "file_id", "left").where("_some is null or (rs is not null and rs < tz)")
