@@ -65,7 +65,7 @@ class LatentVoters:
         idf = np.log((1 + len(terms)) / (1 + (terms > 0).sum(0))).astype(np.float32) + np.float32(1)
         x = terms * idf
         values, basis = np.linalg.eigh(x.T @ x)  # the right singular vectors, from the terms' products
-        basis = np.ascontiguousarray(basis[:, ::-1][:, :dimensions], np.float32)
+        basis = np.ascontiguousarray(basis[:, ::-1][:, :dimensions], float)
         vectors = cls._unit(x @ basis)
         return cls(idf, basis, vectors, labels.astype(np.float32), float(labels.mean()))
 
@@ -79,11 +79,11 @@ class LatentVoters:
             return np.full(len(terms), self.prior)
         out, k = [], min(neighbours, len(self.vectors))
         for i in range(0, len(terms), block):
-            near = self._unit((terms[i : i + block] * self.idf) @ self.basis) @ self.vectors.T
+            near = self._unit((terms[i : i + block] * self.idf).astype(float) @ self.basis) @ self.vectors.T
             top = np.argpartition(-near, k - 1, axis=1)[:, :k]
             weight = np.maximum(np.take_along_axis(near, top, 1).astype(float), 0) ** 8 + 1e-9
             out.append((weight * self.labels[top]).sum(1) / weight.sum(1))
-        return np.clip(np.concatenate(out), 0, 1) if out else np.zeros(0)
+        return np.clip(np.concatenate(out), 0, 1).round(9) if out else np.zeros(0)
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
