@@ -84,7 +84,7 @@ def bootstrap_interval(rows: DataFrame, x: str, y: str, resamples: int = 2000, s
     numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(x, y)) - 1).select("_i", F.col(x).alias("x"), F.col(y).alias("y"))
     n, rng = numbered.count(), random.Random(seed)
     drawn = numbered.sparkSession.createDataFrame([(r, rng.randrange(n)) for r in range(resamples) for _ in range(n)] if n else [], "r int, _i int")
-    rho = spearman(drawn.join(F.broadcast(numbered), "_i"), "x", "y", ["r"]).where("rho is not null")
+    rho = spearman(drawn.join(numbered, "_i"), "x", "y", ["r"]).where("rho is not null")
     sorted_ = rho.agg(F.array_sort(F.collect_list("rho")).alias("a"))
     low, high = (1 - level) / 2, (1 + level) / 2
     at = lambda p: F.expr(f"try_element_at(a, int((size(a) - 1) * {p}) + 1)")

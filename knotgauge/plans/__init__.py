@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import scoring, snapshots, statistics  # noqa: F401
+from . import documents, scoring, snapshots, statistics  # noqa: F401
 from .registry import PLANS, TWINS  # noqa: F401
