@@ -59,7 +59,8 @@ class ShardStore:
         return F.greatest(F.lit(0), F.ceil(F.log(float(self.fan_in), F.greatest(n_bytes, F.lit(1)) / F.lit(float(self.least_bytes))))).cast("int")
 
     def _written(self, folder: str) -> DataFrame:
-        if not self._fs.exists(self._path(folder)) or not any(not s.getPath().getName().startswith(("_", ".")) for s in self._fs.listStatus(self._path(folder))):
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))] if self._fs.exists(self._path(folder)) else []
+        if not any("=" in n or not n.startswith(("_", ".")) for n in names):
             return self.spark.createDataFrame([], MANIFEST)
         files = self.spark.read.option("recursiveFileLookup", "true").parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("n_bytes"))
         return files.groupBy("path").agg(F.count("*").alias("n_rows"), F.max("n_bytes").alias("n_bytes")).withColumn("tier", self.tier(F.col("n_bytes")))
@@ -92,9 +93,13 @@ class ShardStore:
             folder = f"{self.root}/data/{version:010d}-{uuid.uuid4().hex}"
             read = self.spark.read.parquet(*(r.path for r in plan))
             rows = read.select("*", F.col("_metadata.file_path").alias("_path")).join(steps.withColumnRenamed("path", "_path").withColumnRenamed("run", "_run"), "_path").drop("_path")
-            rows.repartition(len(runs), "_run").write.partitionBy("_run").option("compression", "zstd").parquet(folder)
+            # eight partitions a run: two runs seldom meet in a task, and empty partitions cost nothing
+            rows.repartition(8 * len(runs), "_run").write.partitionBy("_run").option("compression", "zstd").parquet(folder)
             gone = self.spark.createDataFrame(plan, "path string, run string").select("path")
-            self.commit(self.manifest().join(gone, "path", "left_anti").unionByName(self._written(folder)), version)
+            before, after = self.manifest(), self.manifest().join(gone, "path", "left_anti").unionByName(self._written(folder))
+            if before.agg(F.sum("n_rows")).first() != after.agg(F.sum("n_rows")).first():
+                raise RuntimeError("a merge lost or repeated rows; the version is not committed")
+            self.commit(after, version)
         return self.versions()[-1]
 
     def vacuum(self, keep: int = 1) -> int:
