@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tokens import as_of, count_before, token_lines
+from .tokens import as_of
 
 #: Scopes are cut into cells of 2**level bytes, so many levels: files up to 2**LEVELS bytes.
 LEVELS = 31
 
 
 def innermost_depth(points: DataFrame, at: Column, scopes: DataFrame) -> DataFrame:
-    """Points with depth = the greatest depth of scopes [scope_start, byte_offset) that contain `at`, 0 if none (j04).
+    """Points (distinct rows) with depth = the greatest depth of scopes [scope_start, byte_offset) that contain `at`, 0 if none (j04).
 
     An interval is a disjoint union of at most two aligned cells per power of two; a point lies in
     one cell per power. So containment is an equi-join on (file, level, cell): a huge file's
@@ -28,21 +28,8 @@ def innermost_depth(points: DataFrame, at: Column, scopes: DataFrame) -> DataFra
     cut = scopes.where("scope_start < byte_offset").select("file_id", "depth", F.explode(cells).alias("s")).groupBy("file_id", F.col("s.l").alias("_l"), F.col("s.c").alias("_c")).agg(F.max("depth").alias("_d"))
     keyed = points.withColumn("_at", at).withColumn("_pt", F.struct(*points.columns))
     probe = keyed.select("file_id", "_pt", F.posexplode(F.expr(f"transform(sequence(0, {LEVELS - 1}), l -> shiftright(_at, l))")).alias("_l", "_c"))
-    hits = probe.join(cut, ["file_id", "_l", "_c"]).groupBy("_pt").agg(F.max("_d").alias("_d"))
-    return keyed.join(hits, "_pt", "left").select(*points.columns, F.coalesce("_d", F.lit(0)).cast("long").alias("depth"))
-
-
-def source_bounds(tokens: DataFrame, ranges: DataFrame) -> DataFrame:
-    """file_id, ms, me (first and last meaningful byte), ss, se (their tokens), last_end (of token se - 1). Without ranges, the tokens' own bounds."""
-    inner = ranges.groupBy("file_id").agg(F.min("start_byte").alias("_c"), F.max("end_byte").alias("_d"))
-    inside = F.col("_d").isNull() | (F.col("start_byte") < F.col("_d"))
-    return tokens.join(inner, "file_id", "left").groupBy("file_id").agg(
-        F.coalesce(F.max("_c"), F.min("start_byte")).alias("ms"),
-        F.coalesce(F.max("_d"), F.max("end_byte")).alias("me"),
-        F.count_if(F.col("end_byte") <= F.col("_c")).alias("ss"),
-        F.count_if(inside).alias("se"),
-        F.max(F.when(inside, F.col("end_byte"))).alias("last_end"),
-    )
+    hits = probe.join(cut, ["file_id", "_l", "_c"], "left").groupBy("_pt").agg(F.coalesce(F.max("_d"), F.lit(0)).cast("long").alias("depth"))
+    return hits.select("_pt.*", "depth")
 
 
 def percentile_tau(tokens: DataFrame, percent: float) -> DataFrame:
@@ -50,34 +37,55 @@ def percentile_tau(tokens: DataFrame, percent: float) -> DataFrame:
     return tokens.groupBy("file_id").agg(F.coalesce(F.percentile("entropy", F.lit(percent / 100.0)), F.lit(0.0)).alias("tau"))
 
 
-def boundaries(tokens: DataFrame, lines: DataFrame, scopes: DataFrame, bounds: DataFrame, tau: DataFrame, mode: str = "structural", starts: bool = True) -> DataFrame:
-    """file_id, boundary (token index), mark (a hot first token was dropped at the source's start) (i01)."""
-    hot = token_lines(tokens, lines).join(bounds, "file_id").join(tau, "file_id").where(f"idx >= ss + {int(starts)} and idx < se and entropy >= tau")
-    found = hot.select("file_id", F.greatest("line_first", "ss").alias("boundary"), "ss", "se").distinct()
-    marks = found.groupBy("file_id").agg(F.bool_or(F.col("boundary") == F.col("ss")).alias("mark"))
-    all_of = found.where("boundary > ss and boundary < se").select("file_id", "boundary")
+def boundaries(tokens: DataFrame, lines: DataFrame, scopes: DataFrame, ranges: DataFrame, tau: DataFrame, mode: str = "structural", starts: bool = True) -> DataFrame:
+    """file_id, boundary (token index), ta (its start), tz_before (the end of the token before it), and per file me, se, mark (a hot
+    line was dropped at the source's start) and has_ranges (i01).
+
+    Tokens, line starts, scope ends, ranges and thresholds are one stream of events per file: one
+    shuffle by file_id, and all lookups are windows over it. Events at one byte come in the order
+    scope end, line start, range, token.
+    """
+    end, start, span, token, limit = range(5)
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, kind, x, e=none("long"), i=none("long"), h=none("double"): df.select("file_id", F.lit(kind).alias("k"), x.cast("long").alias("x"), e.cast("long").alias("e"), i.cast("long").alias("idx"), h.cast("double").alias("h"))
+    events = row(tokens, token, F.col("start_byte"), F.col("end_byte"), F.col("idx"), F.col("entropy"))
+    events = events.unionAll(row(lines, start, F.col("line_start"))).unionAll(row(ranges, span, F.col("start_byte"), F.col("end_byte")))
+    events = events.unionAll(row(tau, limit, F.lit(-1), h=F.col("tau")))
     if mode == "structural":
-        ends = count_before(scopes.select("file_id", "byte_offset").distinct(), F.col("byte_offset"), tokens, "start_byte", False, "boundary")
-        all_of = all_of.unionByName(ends.join(bounds, "file_id").where("boundary > ss and boundary < se").select("file_id", "boundary"))
-    edges = bounds.select("file_id", F.explode(F.array("ss", "se")).alias("boundary"))
-    return all_of.unionByName(edges).distinct().join(marks, "file_id", "left").withColumn("mark", F.coalesce("mark", F.lit(False)))
+        events = events.unionAll(row(scopes, end, F.col("byte_offset")))
+    is_ = lambda kind: F.col("k") == kind
+    whole = Window.partitionBy("file_id")
+    of = lambda kind, f, c: f(F.when(is_(kind), F.col(c))).over(whole)
+    events = events.withColumns({"ms": F.coalesce(of(span, F.min, "x"), of(token, F.min, "x")), "me": F.coalesce(of(span, F.max, "e"), of(token, F.max, "e")), "tau": of(limit, F.max, "h"), "has_ranges": F.max(is_(span)).over(whole)})
+    inside = is_(token) & (F.col("x") < F.col("me"))
+    events = events.withColumns({"ss": F.count_if(is_(token) & (F.col("e") <= F.col("ms"))).over(whole), "se": F.count_if(inside).over(whole), "last_end": F.max(F.when(inside, F.col("e"))).over(whole)})
+    seen = Window.partitionBy("file_id").orderBy("x", "k")
+    past = seen.rowsBetween(Window.unboundedPreceding, -1)
+    events = events.withColumns({"line_start": F.last(F.when(is_(start), F.col("x")), ignorenulls=True).over(seen.rowsBetween(Window.unboundedPreceding, 0)), "n_past": F.count_if(is_(token)).over(past), "end_past": F.max(F.when(is_(token), F.col("e"))).over(past)})
+    events = events.where(is_(token) | is_(end)).withColumn("line_first", F.min("idx").over(Window.partitionBy("file_id", "line_start")))
+    hot = is_(token) & (F.col("idx") >= F.col("ss") + int(starts)) & (F.col("idx") < F.col("se")) & (F.col("h") >= F.col("tau"))
+    cut = lambda at, is_hot, ta=none("long"), before=none("long"): F.struct(at.cast("long").alias("boundary"), is_hot.alias("hot"), ta.alias("ta"), before.alias("tz_before"))
+    made = F.array(
+        F.when(hot, cut(F.greatest("line_first", "ss"), F.lit(True))),
+        F.when(is_(end), cut(F.col("n_past"), F.lit(False))),
+        F.when(is_(token) & (F.col("idx") == F.col("ss")), cut(F.col("idx"), F.lit(False))),
+        F.when(is_(token) & (F.col("idx") == F.col("se") - 1), cut(F.col("se"), F.lit(False), before=F.col("last_end"))),
+        F.when(is_(token), cut(F.col("idx"), none("boolean"), F.col("x"), F.col("end_past"))),
+    )
+    rows = events.select("file_id", "me", "ss", "se", "has_ranges", F.explode(F.filter(made, lambda m: m.isNotNull())).alias("m")).select("file_id", "me", "ss", "se", "has_ranges", "m.*").where("boundary >= ss and boundary <= se")
+    kept = rows.groupBy("file_id", "boundary").agg(*(F.max(c).alias(c) for c in ("me", "ss", "se", "has_ranges", "hot", "ta", "tz_before"))).where("hot is not null")
+    return kept.withColumn("mark", F.coalesce(F.max(F.when(F.col("boundary") == F.col("ss"), F.col("hot"))).over(whole), F.lit(False))).drop("hot", "ss")
 
 
 def detect_units(tokens: DataFrame, lines: DataFrame, scopes: DataFrame, ranges: DataFrame, tau: DataFrame, mode: str = "structural", starts: bool = True) -> DataFrame:
     """file_id, seq, start_byte, end_byte, depth of the blocks (i01-i03, w04, j04, j05)."""
-    bounds = source_bounds(tokens, ranges)
     order = Window.partitionBy("file_id").orderBy("boundary")
-    found = boundaries(tokens, lines, scopes, bounds, tau, mode, starts)
-    by_file = Window.partitionBy("file_id").orderBy("idx")
-    edges = tokens.select("file_id", F.col("idx").alias("boundary"), F.col("start_byte").alias("ta"), F.lag("end_byte").over(by_file).alias("_before"))
-    cuts = found.join(edges, ["file_id", "boundary"], "left").withColumn("z", F.lead("boundary").over(order)).withColumn("_tz", F.lead("_before").over(order)).withColumn("_k", F.row_number().over(order)).where("z is not null")
+    cuts = boundaries(tokens, lines, scopes, ranges, tau, mode, starts).withColumns({"z": F.lead("boundary").over(order), "tz": F.lead("tz_before").over(order), "_k": F.row_number().over(order)}).where("z is not null")
     if mode == "reference":
         cuts = cuts.where("_k > 1 or mark")
-    placed = cuts.join(bounds.select("file_id", "me", "se", "last_end"), "file_id").select("file_id", "boundary", "ta", F.when(F.col("z") == F.col("se"), F.col("last_end")).otherwise(F.col("_tz")).alias("tz"), "me")
-    some = ranges.select("file_id").distinct().withColumn("_some", F.lit(True))
+    placed = cuts.select("file_id", "ta", "tz", "me", "has_ranges")
     near = as_of(placed, F.col("ta"), ranges.select("file_id", F.col("start_byte").alias("rs"), F.col("end_byte").alias("re")), F.col("re"), ["rs"], forward=True, strict=True)
-    near = near.join(some, "file_id", "left").where("_some is null or (rs is not null and rs < tz)")
-    units = near.select("file_id", F.greatest("ta", "rs").alias("start_byte"), F.least("tz", "me").alias("end_byte"))
+    units = near.where("not has_ranges or (rs is not null and rs < tz)").select("file_id", F.greatest("ta", "rs").alias("start_byte"), F.least("tz", "me").alias("end_byte"))
     units = innermost_depth(units, F.col("start_byte"), scopes)
     if mode == "structural":
         units = units.withColumn("_n", F.count("*").over(Window.partitionBy("file_id"))).where("_n > 1").drop("_n")

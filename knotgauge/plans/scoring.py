@@ -162,8 +162,7 @@ def hotspots(spark, sf_dir):
 
 @query("i01_boundaries", f"WITH {TOKENS}, {LINES}, {SCOPES}, {LINED}, {UNITS} SELECT file_id, CAST(b AS BIGINT) AS boundary FROM cuts")
 def boundaries(spark, sf_dir):
-    tokens, lines, scopes, ranges, tau = parts(spark, sf_dir)
-    return un.boundaries(tokens, lines, scopes, un.source_bounds(tokens, ranges), tau).select("file_id", "boundary").where("boundary is not null")
+    return un.boundaries(*parts(spark, sf_dir)).select("file_id", "boundary")
 
 
 @query("w04_intervals", f"WITH {TOKENS}, {LINES}, {SCOPES}, {LINED}, {UNITS} SELECT file_id, CAST(a AS BIGINT) AS a, CAST(z AS BIGINT) AS z FROM gaps WHERE z IS NOT NULL")
