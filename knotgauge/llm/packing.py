@@ -70,17 +70,28 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, ranks
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
 
-def plan_patterns(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[tuple[int, ...], int]]:
+Plan = list[tuple[tuple[int, ...], int]]
+
+
+def plan_patterns(histogram: dict[int, int], capacity: int = 2048) -> Plan:
     """Patterns (lengths, how many sequences) that use up the histogram.
 
-    From the longest length down: exact complements of its gap first, as one, two or three
-    lengths found by hashed sums, each consumed as often as the counts allow; what has no
-    exact complement is placed best-fit.
+    Exact complements first, best fit for what is left. With few distinct lengths, filling some
+    gaps exactly can leave worse ones than best fit alone; then that plan is taken.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, count in histogram.items():
         left[length] += count
-    plan: list[tuple[tuple[int, ...], int]] = []
+    alone = best_fit(left.copy(), capacity)
+    exact = exact_complements(left, capacity)
+    exact += best_fit(left, capacity)
+    return min(exact, alone, key=lambda plan: sum(k for _, k in plan))
+
+
+def exact_complements(left: np.ndarray, capacity: int) -> Plan:
+    """From the longest length down: its gap filled exactly by one, two or three lengths found by hashed sums, each
+    combination consumed as often as the counts `left` allow. What it uses is taken from `left`."""
+    plan: Plan = []
     if left[capacity]:
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
@@ -122,7 +133,11 @@ def plan_patterns(histogram: dict[int, int], capacity: int = 2048) -> list[tuple
             if not found:
                 break
 
-    # residuals: best fit over groups of equal open sequences, by their gap
+    return plan
+
+
+def best_fit(left: np.ndarray, capacity: int) -> Plan:
+    """From the longest length down, each into the open sequence with the least gap that holds it; equal sequences are one group."""
     open_by_gap: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     gaps: list[int] = []
 
@@ -149,7 +164,7 @@ def plan_patterns(histogram: dict[int, int], capacity: int = 2048) -> list[tuple
             if k > n and pattern:
                 put(pattern, k - n)
             count -= n * each
-    return plan + [x for gap in gaps for x in open_by_gap[gap]]
+    return [x for gap in gaps for x in open_by_gap[gap]]
 
 
 def slot_tables(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
