@@ -161,15 +161,18 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
 
 
 def redact(text: str | None) -> str | None:
-    """The text with each span, or run of overlapping spans, replaced by its kind in brackets."""
-    if not text:
-        return text
-    out, at = [], 0
-    for kind, start, end in all_spans(text)[1]:
-        if start >= at:
-            out += [text[at:start], f"[{kind.upper()}]"]
-        at = max(at, end)
-    return "".join([*out, text[at:]]) if out else text
+    """The text with each span, or run of overlapping spans, replaced by its kind in brackets.
+
+    Replacing one span can lay bare another (digits that ran on into it): repeated until none is left. Each pass takes digits or at signs away, so it ends.
+    """
+    while text and (spans := all_spans(text)[1]):
+        out, at = [], 0
+        for kind, start, end in spans:
+            if start >= at:
+                out += [text[at:start], f"[{kind.upper()}]"]
+            at = max(at, end)
+        text = "".join([*out, text[at:]])
+    return text
 
 
 def _join(spans: list[tuple[str, int, int]]) -> str:
