@@ -118,6 +118,8 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
