@@ -67,7 +67,7 @@ def score_functions(functions: DataFrame, tokens: DataFrame, lines: DataFrame, s
 
 def project_totals(scored: DataFrame) -> DataFrame:
     """Sums over files; the mean score is over analyzed files (a07)."""
-    return scored.agg(F.count("*").alias("analyzed"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("token_count"), F.coalesce(F.sum("high_entropy_tokens"), F.lit(0)).alias("high_entropy_tokens"), F.coalesce(F.sum("entropy_sum"), F.lit(0.0)).alias("entropy_sum"), F.coalesce(F.sum("total_branch"), F.lit(0)).alias("total_branch"), F.coalesce(F.sum("llm_cc"), F.lit(0.0)).alias("llm_cc"), F.avg("llm_cc").alias("mean_llm_cc_per_file"))
+    return scored.agg(F.count("*").alias("analyzed"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("token_count"), F.coalesce(F.sum("high_entropy_tokens"), F.lit(0)).alias("high_entropy_tokens"), F.coalesce(F.sum("entropy_sum"), F.lit(0.0)).alias("entropy_sum"), F.coalesce(F.sum("total_branch"), F.lit(0)).alias("total_branch"), F.coalesce(F.sum("tree_score"), F.lit(0.0)).alias("tree_score"), F.avg("tree_score").alias("mean_tree_score"))
 
 
 def grouped_totals(files: DataFrame, first: str, second: str) -> DataFrame:
@@ -80,5 +80,5 @@ def grouped_totals(files: DataFrame, first: str, second: str) -> DataFrame:
 def score_mode(mode: str) -> Column:
     """raw, lmcc (per token), density or mean; all but raw null without tokens (p18)."""
     if mode == "raw":
-        return F.col("llm_cc")
+        return F.col("tree_score")
     return F.when(F.col("token_count") > 0, F.col({"lmcc": "lmcc_per_token", "density": "density", "mean": "mean_entropy"}[mode]))

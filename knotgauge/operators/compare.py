@@ -47,7 +47,7 @@ def valid_result(fingerprint: Column) -> Column:
     """p15: provenance, finite and non-negative numbers, counts within their caps."""
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) >= 0) & (F.col(c) < float("inf"))
     counts = (F.col("token_count") >= 0) & (F.col("token_count") <= 1 << 30) & (F.col("high_entropy_tokens") >= 0) & (F.col("high_entropy_tokens") <= F.col("token_count"))
-    return F.coalesce((F.col("fingerprint") == fingerprint) & finite("llm_cc") & finite("entropy_sum") & counts & (F.col("total_comp_level") <= 1 << 53), F.lit(False))
+    return F.coalesce((F.col("fingerprint") == fingerprint) & finite("tree_score") & finite("entropy_sum") & counts & (F.col("total_comp_level") <= 1 << 53), F.lit(False))
 
 
 def pack_longest_first(work: DataFrame, most_bins: int = 4) -> DataFrame:
@@ -82,25 +82,25 @@ def artifact_errors(artifacts: DataFrame, workers: DataFrame, fingerprint: str)
 def measured(inventories: DataFrame, results: DataFrame) -> DataFrame:
     """Inventory rows with their result (j10) and whether they are supported and measured."""
     joined = inventories.join(results.drop("blob_id", "language"), "key", "left")
-    return joined.withColumn("supported", supported()).withColumn("measured", F.col("llm_cc").isNotNull())
+    return joined.withColumn("supported", supported()).withColumn("measured", F.col("tree_score").isNotNull())
 
 
 def side_totals(rows: DataFrame) -> DataFrame:
     """Per side and category of the fixed three, and per side in all (category null): counts, bytes, coverage; scores only if every supported path is measured (a09, j15)."""
     size = F.coalesce("size", F.lit(0))
-    sums = [F.count("path").alias("paths"), F.count_if("supported").alias("supported"), F.count_if("measured").alias("measured"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(F.col("supported"), size)), F.lit(0)).alias("supported_bytes"), F.coalesce(F.sum(F.when(F.col("measured"), size)), F.lit(0)).alias("measured_bytes"), F.sum("llm_cc").alias("_cc"), F.sum("token_count").alias("_tokens")]
+    sums = [F.count("path").alias("paths"), F.count_if("supported").alias("supported"), F.count_if("measured").alias("measured"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(F.col("supported"), size)), F.lit(0)).alias("supported_bytes"), F.coalesce(F.sum(F.when(F.col("measured"), size)), F.lit(0)).alias("measured_bytes"), F.sum("tree_score").alias("_cc"), F.sum("token_count").alias("_tokens")]
     sides = rows.select("side").distinct()
     domain = sides.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")))
     each = domain.join(rows, ["side", "category"], "left").groupBy("side", "category").agg(*sums)
     every = rows.groupBy("side").agg(*sums).withColumn("category", F.lit(None).cast("string"))
     whole = F.col("supported") == F.col("measured")
     out = each.unionByName(every.select(each.columns))
-    return out.select("side", "category", "paths", "supported", "measured", "bytes", "supported_bytes", "measured_bytes", F.when(whole, F.coalesce("_cc", F.lit(0.0))).alias("llm_cc"), F.when(whole, F.coalesce("_tokens", F.lit(0))).alias("tokens"), coverage(F.col("measured"), F.col("supported")).alias("coverage"), coverage(F.col("measured_bytes"), F.col("supported_bytes")).alias("byte_coverage"))
+    return out.select("side", "category", "paths", "supported", "measured", "bytes", "supported_bytes", "measured_bytes", F.when(whole, F.coalesce("_cc", F.lit(0.0))).alias("tree_score"), F.when(whole, F.coalesce("_tokens", F.lit(0))).alias("tokens"), coverage(F.col("measured"), F.col("supported")).alias("coverage"), coverage(F.col("measured_bytes"), F.col("supported_bytes")).alias("byte_coverage"))
 
 
 def side_deltas(totals: DataFrame) -> DataFrame:
     """category and {base, head, absolute, percent} of the score."""
-    wide = totals.groupBy("category").pivot("side", ["base", "head"]).agg(F.first("llm_cc"))
+    wide = totals.groupBy("category").pivot("side", ["base", "head"]).agg(F.first("tree_score"))
     return wide.select("category", delta(F.col("base"), F.col("head")).alias("d")).select("category", "d.*")
 
 
@@ -121,8 +121,8 @@ def changes(base: DataFrame, head: DataFrame) -> DataFrame:
 
 def changed_files(change: DataFrame, base: DataFrame, head: DataFrame) -> DataFrame:
     """Changes with both sides' category and score (j11) and the score's delta. An absent side counts 0; a present, unmeasured one makes the delta null."""
-    old = base.select(F.col("path").alias("old_path"), F.col("category").alias("old_category"), F.col("llm_cc").alias("_b"))
-    new = head.select(F.col("path").alias("new_path"), F.col("category").alias("new_category"), F.col("llm_cc").alias("_h"))
+    old = base.select(F.col("path").alias("old_path"), F.col("category").alias("old_category"), F.col("tree_score").alias("_b"))
+    new = head.select(F.col("path").alias("new_path"), F.col("category").alias("new_category"), F.col("tree_score").alias("_h"))
     joined = change.join(old, "old_path", "left").join(new, "new_path", "left")
     before = F.when(F.col("old_path").isNull(), F.lit(0.0)).otherwise(F.col("_b"))
     after = F.when(F.col("new_path").isNull(), F.lit(0.0)).otherwise(F.col("_h"))
@@ -137,7 +137,7 @@ def change_counts(rows: DataFrame) -> DataFrame:
 
 def ranked(rows: DataFrame) -> DataFrame:
     """Rank by score, then path, in all and within a category (w01, w02). The first is a global order: a rank asks for one."""
-    order = [F.col("llm_cc").desc(), F.col("path")]
+    order = [F.col("tree_score").desc(), F.col("path")]
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("category_rank", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
 
 

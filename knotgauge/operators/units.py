@@ -103,7 +103,7 @@ def depths_in_order(units: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def score_trees(units: DataFrame, alpha: float = 0.8, order: str = "seq") -> DataFrame:
-    """file_id, n_units, total_level (units only), max_level, total_branch, total_comp_level, llm_cc for files with units (a02, i04).
+    """file_id, n_units, total_level (units only), max_level, total_branch, total_comp_level, tree_score for files with units (a02, i04).
 
     Total branching is the number of units, each being one node's child; the levels come from one
     fold over the depths, whose stack is what would be the open nodes.
@@ -111,7 +111,7 @@ def score_trees(units: DataFrame, alpha: float = 0.8, order: str = "seq") -> Dat
     folded = depths_in_order(units, order).select("file_id", F.size("d").cast("long").alias("n_units"), F.expr(SUM_FOLD).alias("f"))
     branch, comp = F.col("n_units"), F.col("f.lv") + 1
     score = F.lit(alpha) * branch + F.lit(1 - alpha) * comp
-    return folded.select("file_id", "n_units", F.col("f.lv").alias("total_level"), F.col("f.most").alias("max_level"), branch.alias("total_branch"), comp.alias("total_comp_level"), score.alias("llm_cc"))
+    return folded.select("file_id", "n_units", F.col("f.lv").alias("total_level"), F.col("f.most").alias("max_level"), branch.alias("total_branch"), comp.alias("total_comp_level"), score.alias("tree_score"))
 
 
 def unit_nodes(units: DataFrame, order: str = "seq") -> DataFrame:
@@ -146,5 +146,5 @@ def analyze(tokens: DataFrame, lines: DataFrame, scopes: DataFrame, ranges: Data
     trees = score_trees(detect_units(tokens, lines, scopes, ranges, tau, mode, starts), alpha)
     out = token_metrics(tokens, tau).join(trees, "file_id", "left")
     n, level = F.coalesce("n_units", F.lit(0)), F.coalesce("total_comp_level", F.lit(1))
-    score = F.coalesce("llm_cc", F.lit(1 - alpha))
-    return out.select("file_id", n.alias("n_units"), n.alias("total_branch"), level.alias("total_comp_level"), score.alias("llm_cc"), "token_count", "high_entropy_tokens", "entropy_sum", F.try_divide(score, F.nullif("token_count", F.lit(0))).alias("lmcc_per_token"), F.try_divide(F.col("high_entropy_tokens").cast("double"), F.nullif("token_count", F.lit(0))).alias("density"), F.try_divide(F.col("entropy_sum"), F.nullif("token_count", F.lit(0))).alias("mean_entropy"))
+    score = F.coalesce("tree_score", F.lit(1 - alpha))
+    return out.select("file_id", n.alias("n_units"), n.alias("total_branch"), level.alias("total_comp_level"), score.alias("tree_score"), "token_count", "high_entropy_tokens", "entropy_sum", F.try_divide(score, F.nullif("token_count", F.lit(0))).alias("lmcc_per_token"), F.try_divide(F.col("high_entropy_tokens").cast("double"), F.nullif("token_count", F.lit(0))).alias("density"), F.try_divide(F.col("entropy_sum"), F.nullif("token_count", F.lit(0))).alias("mean_entropy"))

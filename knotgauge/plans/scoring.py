@@ -179,15 +179,15 @@ def unit_depth(spark, sf_dir):
 ANALYZED = f"WITH {TOKENS}, {LINES}, {SCOPES}, {LINED}, {UNITS}, {TREE}, m AS (SELECT file_id, count(num) AS tokens, sum(num) AS total FROM tok GROUP BY file_id), analyzed AS (SELECT m.file_id, coalesce(n, 0) AS n_units, coalesce(1 + lv, 1) AS level, tokens, total FROM m LEFT JOIN folded USING (file_id))"
 
 
-@query("a02_lm_cc", ANALYZED + " SELECT file_id, CAST(n_units AS BIGINT) AS total_branch, CAST(level AS BIGINT) AS total_comp_level, round(CAST(0.8 AS DOUBLE) * n_units + CAST(0.2 AS DOUBLE) * level, 6) AS llm_cc, tokens AS token_count FROM analyzed")
+@query("a02_lm_cc", ANALYZED + " SELECT file_id, CAST(n_units AS BIGINT) AS total_branch, CAST(level AS BIGINT) AS total_comp_level, round(CAST(0.8 AS DOUBLE) * n_units + CAST(0.2 AS DOUBLE) * level, 6) AS tree_score, tokens AS token_count FROM analyzed")
 def analyzed(spark, sf_dir):
-    return un.analyze(*parts(spark, sf_dir), alpha=ALPHA).select("file_id", F.col("total_branch").cast("long").alias("total_branch"), F.col("total_comp_level").cast("long").alias("total_comp_level"), F.round("llm_cc", 6).alias("llm_cc"), "token_count")
+    return un.analyze(*parts(spark, sf_dir), alpha=ALPHA).select("file_id", F.col("total_branch").cast("long").alias("total_branch"), F.col("total_comp_level").cast("long").alias("total_comp_level"), F.round("tree_score", 6).alias("tree_score"), "token_count")
 
 
 @query("a28_per_token_ratio", ANALYZED + " SELECT f.lang, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(CAST(0.8 AS DOUBLE) * n_units + CAST(0.2 AS DOUBLE) * level) / nullif(sum(tokens), 0), 9) AS lmcc_per_token FROM analyzed a JOIN files f USING (file_id) GROUP BY f.lang")
 def per_token(spark, sf_dir):
     scored = un.analyze(*parts(spark, sf_dir), alpha=ALPHA).join(files(spark, sf_dir).drop("text"), "file_id")
-    return scored.groupBy("lang").agg(F.sum("token_count").alias("tokens"), F.round(F.try_divide(F.sum("llm_cc"), F.nullif(F.sum("token_count"), F.lit(0))), 9).alias("lmcc_per_token"))
+    return scored.groupBy("lang").agg(F.sum("token_count").alias("tokens"), F.round(F.try_divide(F.sum("tree_score"), F.nullif(F.sum("token_count"), F.lit(0))), 9).alias("lmcc_per_token"))
 
 
 DEEP = "deep AS (SELECT user_id AS file_id, CAST(floor(value) AS BIGINT) % 8 AS depth, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events)"
@@ -214,10 +214,10 @@ def node_ends(spark, sf_dir):
     return un.unit_nodes(deep_units(spark, sf_dir)).select("file_id", "seq", "node_end", "branching")
 
 
-@query("i03_single_unit_suppression", ANALYZED + " SELECT n_units = 0 AS collapsed, count(*) AS n_files, round(sum(CAST(0.8 AS DOUBLE) * n_units + CAST(0.2 AS DOUBLE) * level), 4) AS llm_cc FROM analyzed GROUP BY 1")
+@query("i03_single_unit_suppression", ANALYZED + " SELECT n_units = 0 AS collapsed, count(*) AS n_files, round(sum(CAST(0.8 AS DOUBLE) * n_units + CAST(0.2 AS DOUBLE) * level), 4) AS tree_score FROM analyzed GROUP BY 1")
 def suppression(spark, sf_dir):
     scored = un.analyze(*parts(spark, sf_dir), alpha=ALPHA)
-    return scored.groupBy((F.col("n_units") == 0).alias("collapsed")).agg(F.count("*").alias("n_files"), F.round(F.sum("llm_cc"), 4).alias("llm_cc"))
+    return scored.groupBy((F.col("n_units") == 0).alias("collapsed")).agg(F.count("*").alias("n_files"), F.round(F.sum("tree_score"), 4).alias("tree_score"))
 
 
 @query("i02_reference_mode", f"WITH {TOKENS}, {LINES}, {LINED}, hot AS (SELECT DISTINCT l.file_id, greatest(line_first, ss) AS b, ss, se FROM lined l JOIN bounds USING (file_id) WHERE idx >= ss + 1 AND idx < se AND num >= 72), marked AS (SELECT DISTINCT file_id FROM hot WHERE b = ss), cuts AS (SELECT file_id, b FROM hot WHERE b > ss AND b < se UNION SELECT file_id, ss FROM bounds UNION SELECT file_id, se FROM bounds), gaps AS (SELECT file_id, b AS a, lead(b) OVER w AS z, row_number() OVER w AS k FROM cuts WINDOW w AS (PARTITION BY file_id ORDER BY b)), kept AS (SELECT g.*, c.size FROM gaps g JOIN counted c USING (file_id) WHERE z IS NOT NULL AND (k > 1 OR file_id IN (SELECT file_id FROM marked))), near AS (SELECT k.file_id, a * 3 AS ta, least(z * 3, size) AS tz, min(rs) AS rs FROM kept k JOIN ranges r ON r.file_id = k.file_id AND r.re > a * 3 GROUP BY ALL) SELECT file_id, CAST(greatest(ta, rs) AS BIGINT) AS start_byte, CAST(least(tz, me) AS BIGINT) AS end_byte FROM near JOIN bounds USING (file_id) WHERE rs < tz")
@@ -267,11 +267,11 @@ def function_metrics(spark, sf_dir):
 # -- totals
 
 
-@query("a07_project_totals", ANALYZED + " SELECT count(*) AS analyzed, sum(tokens)::BIGINT AS token_count, sum(n_units)::BIGINT AS total_branch, round(avg(CAST(0.8 AS DOUBLE) * n_units + CAST(0.2 AS DOUBLE) * level), 6) AS mean_llm_cc_per_file FROM analyzed")
+@query("a07_project_totals", ANALYZED + " SELECT count(*) AS analyzed, sum(tokens)::BIGINT AS token_count, sum(n_units)::BIGINT AS total_branch, round(avg(CAST(0.8 AS DOUBLE) * n_units + CAST(0.2 AS DOUBLE) * level), 6) AS mean_tree_score FROM analyzed")
 def project_totals(spark, sf_dir):
     scored = un.analyze(*parts(spark, sf_dir), alpha=ALPHA)
     t = analysis.project_totals(scored)
-    return t.select("analyzed", "token_count", F.col("total_branch").cast("long").alias("total_branch"), F.round("mean_llm_cc_per_file", 6).alias("mean_llm_cc_per_file"))
+    return t.select("analyzed", "token_count", F.col("total_branch").cast("long").alias("total_branch"), F.round("mean_tree_score", 6).alias("mean_tree_score"))
 
 
 @query("a08_grouped_totals", f"WITH {TOKENS}, m AS (SELECT file_id, count(num) AS tokens, count(*) FILTER (num >= 72) AS high FROM tok GROUP BY file_id), f AS (SELECT file_id, lang, source, octet_length(encode(text)) > 10000 AS failed FROM files) SELECT lang, source, count(*) AS discovered, count(*) FILTER (NOT failed) AS analyzed, count(*) FILTER (failed) AS failed, coalesce(sum(tokens) FILTER (NOT failed), 0)::BIGINT AS token_count, coalesce(sum(high) FILTER (NOT failed), 0)::BIGINT AS high_entropy_tokens FROM f LEFT JOIN m USING (file_id) GROUP BY GROUPING SETS ((lang), (source), ())")
@@ -289,10 +289,10 @@ def score_modes(spark, sf_dir):
     return scored.select("file_id", F.round(analysis.score_mode("raw"), 6).alias("raw"), F.round(analysis.score_mode("lmcc"), 9).alias("lmcc"), F.round(analysis.score_mode("mean"), 6).alias("mean"))
 
 
-@query("o07_top_documents", ANALYZED + " SELECT file_id, round(CAST(0.8 AS DOUBLE) * n_units + CAST(0.2 AS DOUBLE) * level, 6) AS llm_cc, tokens AS token_count FROM analyzed ORDER BY round(CAST(0.8 AS DOUBLE) * n_units + CAST(0.2 AS DOUBLE) * level, 6) DESC, file_id LIMIT 20")
+@query("o07_top_documents", ANALYZED + " SELECT file_id, round(CAST(0.8 AS DOUBLE) * n_units + CAST(0.2 AS DOUBLE) * level, 6) AS tree_score, tokens AS token_count FROM analyzed ORDER BY round(CAST(0.8 AS DOUBLE) * n_units + CAST(0.2 AS DOUBLE) * level, 6) DESC, file_id LIMIT 20")
 def top_documents(spark, sf_dir):
     """The flagship: documents by score, the top twenty."""
-    return analyzed(spark, sf_dir).select("file_id", "llm_cc", "token_count").orderBy(F.col("llm_cc").desc(), "file_id").limit(20)
+    return analyzed(spark, sf_dir).select("file_id", "tree_score", "token_count").orderBy(F.col("tree_score").desc(), "file_id").limit(20)
 
 
 # -- records: alignment and validation, over conversations as ordered records

@@ -34,8 +34,8 @@ cls AS (SELECT *, {_LANGUAGE} AS language,
 judged AS (SELECT *, CASE WHEN mode = '160000' THEN 'submodule' WHEN mode = '120000' THEN 'symlink' WHEN type <> 'blob' THEN 'unsupported' WHEN gone THEN 'excluded' WHEN language IS NULL THEN 'unsupported' WHEN size > {OVERSIZED} THEN 'oversized' END AS reason FROM cls),
 inv AS (SELECT side, path, language, category, size, blob_id, reason, reason IS NULL AS scorable, CASE WHEN reason IS NULL THEN sha256('kg-item' || chr(0) || blob_id || chr(0) || language || chr(0) || '{FINGERPRINT}') END AS key FROM judged),
 items AS (SELECT key, blob_id, language, size, path AS display_path FROM inv WHERE scorable QUALIFY row_number() OVER (PARTITION BY key ORDER BY side, path) = 1),
-results AS (SELECT key, blob_id, language, '{FINGERPRINT}' AS fingerprint, CAST(size % 1000 AS DOUBLE) / 8 AS llm_cc, size // 3 AS token_count, size // 9 AS high_entropy_tokens, CAST(size AS DOUBLE) / 4 AS entropy_sum, size // 50 AS total_branch, size // 20 AS total_comp_level FROM items WHERE substr(key, 1, 1) <> '0'),
-meas AS (SELECT i.*, r.llm_cc, r.token_count, i.scorable OR coalesce(i.language IS NOT NULL AND i.reason = 'oversized', false) AS supported, r.llm_cc IS NOT NULL AS measured FROM inv i LEFT JOIN results r ON i.key = r.key)"""
+results AS (SELECT key, blob_id, language, '{FINGERPRINT}' AS fingerprint, CAST(size % 1000 AS DOUBLE) / 8 AS tree_score, size // 3 AS token_count, size // 9 AS high_entropy_tokens, CAST(size AS DOUBLE) / 4 AS entropy_sum, size // 50 AS total_branch, size // 20 AS total_comp_level FROM items WHERE substr(key, 1, 1) <> '0'),
+meas AS (SELECT i.*, r.tree_score, r.token_count, i.scorable OR coalesce(i.language IS NOT NULL AND i.reason = 'oversized', false) AS supported, r.tree_score IS NOT NULL AS measured FROM inv i LEFT JOIN results r ON i.key = r.key)"""
 
 
 def snapshots(spark, sf_dir):
@@ -52,7 +52,7 @@ def inventories(spark, sf_dir):
 
 def results(work):
     size = F.col("size")
-    return work.where("substr(key, 1, 1) <> '0'").select("key", "blob_id", "language", F.lit(FINGERPRINT).alias("fingerprint"), ((size % 1000).cast("double") / 8).alias("llm_cc"), F.expr("size div 3").alias("token_count"), F.expr("size div 9").alias("high_entropy_tokens"), (size.cast("double") / 4).alias("entropy_sum"), F.expr("size div 50").alias("total_branch"), F.expr("size div 20").alias("total_comp_level"))
+    return work.where("substr(key, 1, 1) <> '0'").select("key", "blob_id", "language", F.lit(FINGERPRINT).alias("fingerprint"), ((size % 1000).cast("double") / 8).alias("tree_score"), F.expr("size div 3").alias("token_count"), F.expr("size div 9").alias("high_entropy_tokens"), (size.cast("double") / 4).alias("entropy_sum"), F.expr("size div 50").alias("total_branch"), F.expr("size div 20").alias("total_comp_level"))
 
 
 def measured(spark, sf_dir):
@@ -147,7 +147,7 @@ gone AS (SELECT path AS old_path, blob_id, row_number() OVER (PARTITION BY blob_
 come AS (SELECT path AS new_path, blob_id, row_number() OVER (PARTITION BY blob_id ORDER BY path) AS n FROM h WHERE path NOT IN (SELECT path FROM b)),
 chg AS (SELECT 'M' AS status, b.path AS old_path, h.path AS new_path FROM b JOIN h ON b.path = h.path AND b.blob_id <> h.blob_id
   UNION ALL SELECT CASE WHEN old_path IS NULL THEN 'A' WHEN new_path IS NULL THEN 'D' ELSE 'R100' END, old_path, new_path FROM gone FULL JOIN come ON gone.blob_id = come.blob_id AND gone.n = come.n),
-full_chg AS (SELECT c.*, o.category AS old_category, w.category AS new_category, coalesce(c.new_path, c.old_path) AS path, CASE WHEN c.old_path IS NULL THEN 0 ELSE o.llm_cc END AS base, CASE WHEN c.new_path IS NULL THEN 0 ELSE w.llm_cc END AS head FROM chg c LEFT JOIN (SELECT * FROM meas WHERE side = 'base') o ON c.old_path = o.path LEFT JOIN (SELECT * FROM meas WHERE side = 'head') w ON c.new_path = w.path)"""
+full_chg AS (SELECT c.*, o.category AS old_category, w.category AS new_category, coalesce(c.new_path, c.old_path) AS path, CASE WHEN c.old_path IS NULL THEN 0 ELSE o.tree_score END AS base, CASE WHEN c.new_path IS NULL THEN 0 ELSE w.tree_score END AS head FROM chg c LEFT JOIN (SELECT * FROM meas WHERE side = 'base') o ON c.old_path = o.path LEFT JOIN (SELECT * FROM meas WHERE side = 'head') w ON c.new_path = w.path)"""
 
 
 @query("j09_changes", f"{W}, {CHANGES} SELECT * FROM chg")
@@ -340,23 +340,23 @@ def packed(spark, sf_dir):
 # -- workers and reports
 
 
-@query("j10_inventory_results", f"{W} SELECT side, path, llm_cc, measured FROM meas")
+@query("j10_inventory_results", f"{W} SELECT side, path, tree_score, measured FROM meas")
 def inventory_results(spark, sf_dir):
-    return measured(spark, sf_dir).select("side", "path", "llm_cc", "measured")
+    return measured(spark, sf_dir).select("side", "path", "tree_score", "measured")
 
 
 TOTALS = """
-agg AS (SELECT side, category, count(*) AS paths, count(*) FILTER (supported) AS supported, count(*) FILTER (measured) AS measured, CAST(sum(size) AS BIGINT) AS bytes, CAST(coalesce(sum(size) FILTER (supported), 0) AS BIGINT) AS supported_bytes, CAST(coalesce(sum(size) FILTER (measured), 0) AS BIGINT) AS measured_bytes, coalesce(sum(llm_cc), 0) AS cc, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS tok FROM meas GROUP BY GROUPING SETS ((side, category), (side))),
-tot AS (SELECT side, category, paths, supported, measured, bytes, supported_bytes, measured_bytes, CASE WHEN supported = measured THEN cc END AS llm_cc, CASE WHEN supported = measured THEN tok END AS tokens, CASE WHEN supported = 0 THEN 1 ELSE CAST(measured AS DOUBLE) / supported END AS coverage, CASE WHEN supported_bytes = 0 THEN 1 ELSE CAST(measured_bytes AS DOUBLE) / supported_bytes END AS byte_coverage FROM agg)"""
+agg AS (SELECT side, category, count(*) AS paths, count(*) FILTER (supported) AS supported, count(*) FILTER (measured) AS measured, CAST(sum(size) AS BIGINT) AS bytes, CAST(coalesce(sum(size) FILTER (supported), 0) AS BIGINT) AS supported_bytes, CAST(coalesce(sum(size) FILTER (measured), 0) AS BIGINT) AS measured_bytes, coalesce(sum(tree_score), 0) AS cc, CAST(coalesce(sum(token_count), 0) AS BIGINT) AS tok FROM meas GROUP BY GROUPING SETS ((side, category), (side))),
+tot AS (SELECT side, category, paths, supported, measured, bytes, supported_bytes, measured_bytes, CASE WHEN supported = measured THEN cc END AS tree_score, CASE WHEN supported = measured THEN tok END AS tokens, CASE WHEN supported = 0 THEN 1 ELSE CAST(measured AS DOUBLE) / supported END AS coverage, CASE WHEN supported_bytes = 0 THEN 1 ELSE CAST(measured_bytes AS DOUBLE) / supported_bytes END AS byte_coverage FROM agg)"""
 
 
-@query("a09_side_totals", f"{W}, {TOTALS} SELECT side, category, paths, supported, measured, bytes, supported_bytes, measured_bytes, llm_cc, tokens, round(coverage, 9) AS coverage, round(byte_coverage, 9) AS byte_coverage FROM tot")
+@query("a09_side_totals", f"{W}, {TOTALS} SELECT side, category, paths, supported, measured, bytes, supported_bytes, measured_bytes, tree_score, tokens, round(coverage, 9) AS coverage, round(byte_coverage, 9) AS byte_coverage FROM tot")
 def side_totals(spark, sf_dir):
     t = cp.side_totals(measured(spark, sf_dir))
     return t.withColumn("coverage", F.round("coverage", 9)).withColumn("byte_coverage", F.round("byte_coverage", 9))
 
 
-@query("f13_side_deltas", f"{W}, full_meas AS (SELECT side, category, sum(llm_cc) AS cc FROM (SELECT side, category, llm_cc FROM meas WHERE measured UNION ALL SELECT side, NULL, llm_cc FROM meas WHERE measured) GROUP BY side, category), j AS (SELECT b.category, b.cc AS base, h.cc AS head FROM full_meas b JOIN full_meas h ON b.category IS NOT DISTINCT FROM h.category WHERE b.side = 'base' AND h.side = 'head') SELECT category, base, head, head - base AS absolute, round(100 * (head - base) / nullif(base, 0), 6) AS percent FROM j")
+@query("f13_side_deltas", f"{W}, full_meas AS (SELECT side, category, sum(tree_score) AS cc FROM (SELECT side, category, tree_score FROM meas WHERE measured UNION ALL SELECT side, NULL, tree_score FROM meas WHERE measured) GROUP BY side, category), j AS (SELECT b.category, b.cc AS base, h.cc AS head FROM full_meas b JOIN full_meas h ON b.category IS NOT DISTINCT FROM h.category WHERE b.side = 'base' AND h.side = 'head') SELECT category, base, head, head - base AS absolute, round(100 * (head - base) / nullif(base, 0), 6) AS percent FROM j")
 def side_deltas(spark, sf_dir):
     rows = measured(spark, sf_dir).where("measured")
     return cp.side_deltas(cp.side_totals(rows)).withColumn("percent", F.round("percent", 6))
@@ -374,17 +374,17 @@ def unmeasured(spark, sf_dir):
     return inventories(spark, sf_dir).where("reason is not null").groupBy("side", "reason").agg(F.count("*").alias("n"))
 
 
-@query("w01_global_rank", f"{W} SELECT path, row_number() OVER (ORDER BY llm_cc DESC, path) AS rank FROM meas WHERE side = 'head' AND measured")
+@query("w01_global_rank", f"{W} SELECT path, row_number() OVER (ORDER BY tree_score DESC, path) AS rank FROM meas WHERE side = 'head' AND measured")
 def global_rank(spark, sf_dir):
     return cp.ranked(measured(spark, sf_dir).where("side = 'head' and measured")).select("path", F.col("rank").cast("long").alias("rank"))
 
 
-@query("w02_category_rank", f"{W} SELECT path, category, row_number() OVER (PARTITION BY category ORDER BY llm_cc DESC, path) AS category_rank FROM meas WHERE side = 'head' AND measured")
+@query("w02_category_rank", f"{W} SELECT path, category, row_number() OVER (PARTITION BY category ORDER BY tree_score DESC, path) AS category_rank FROM meas WHERE side = 'head' AND measured")
 def category_rank(spark, sf_dir):
     return cp.ranked(measured(spark, sf_dir).where("side = 'head' and measured")).select("path", "category", F.col("category_rank").cast("long").alias("category_rank"))
 
 
-@query("w11_top_per_category", f"{W}, r AS (SELECT path, category, row_number() OVER (ORDER BY llm_cc DESC, path) AS rank, row_number() OVER (PARTITION BY category ORDER BY llm_cc DESC, path) AS category_rank FROM meas WHERE side = 'head' AND measured) SELECT path, category FROM r WHERE rank <= 50 OR category_rank <= 20")
+@query("w11_top_per_category", f"{W}, r AS (SELECT path, category, row_number() OVER (ORDER BY tree_score DESC, path) AS rank, row_number() OVER (PARTITION BY category ORDER BY tree_score DESC, path) AS category_rank FROM meas WHERE side = 'head' AND measured) SELECT path, category FROM r WHERE rank <= 50 OR category_rank <= 20")
 def top_per_category(spark, sf_dir):
     return cp.ranked(measured(spark, sf_dir).where("side = 'head' and measured")).where("rank <= 50 or category_rank <= 20").select("path", "category")
 

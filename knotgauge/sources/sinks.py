@@ -33,10 +33,10 @@ def write_events(lines: DataFrame, path: str) -> None:
 def text_report(files: list[dict], totals: dict) -> str:
     """The terminal's report: files by score, with their hotspots (k02)."""
     out = []
-    for f in sorted(files, key=lambda f: (-(f["llm_cc"] or 0), f["path"])):
-        out.append(f"{f['path']}: {short_number(f['llm_cc'])} ({f['token_count']} tokens)")
+    for f in sorted(files, key=lambda f: (-(f["tree_score"] or 0), f["path"])):
+        out.append(f"{f['path']}: {short_number(f['tree_score'])} ({f['token_count']} tokens)")
         out += [f"  line {h['line']}: max {short_number(h['max_entropy'])}" for h in f.get("hotspots", [])]
-    return "\n".join([*out, f"total: {short_number(totals['llm_cc'])} in {totals['analyzed']} files", ""])
+    return "\n".join([*out, f"total: {short_number(totals['tree_score'])} in {totals['analyzed']} files", ""])
 
 
 def markdown_table(rows: list[dict], most: int = INLINE_ROWS) -> str:

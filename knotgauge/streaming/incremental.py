@@ -13,7 +13,7 @@ from ..functions.scalars import joined_key
 from ..operators.units import analyze
 from ..sources.stores import CacheTable
 
-RESULT = "token_count long, llm_cc double"
+RESULT = "token_count long, tree_score double"
 
 
 def score_batch(files: DataFrame, cache: CacheTable, parts: Callable[[DataFrame], tuple], now: dt.datetime, alpha: float = 0.8) -> None:
@@ -22,7 +22,7 @@ def score_batch(files: DataFrame, cache: CacheTable, parts: Callable[[DataFrame]
     once = keyed.groupBy("key").agg(F.min_by("text", "file_id").alias("text"), F.min("file_id").alias("file_id"))
     _, fresh = cache.probe(once, now)
     scored = analyze(*parts(fresh.select("file_id", "text")), alpha)
-    cache.put(fresh.select("key", "file_id").join(scored, "file_id").select("key", "token_count", "llm_cc"), now)
+    cache.put(fresh.select("key", "file_id").join(scored, "file_id").select("key", "token_count", "tree_score"), now)
 
 
 def score_stream(stream: DataFrame, cache: CacheTable, parts: Callable[[DataFrame], tuple], checkpoint: str, clock: Callable[[], dt.datetime]) -> StreamingQuery:

@@ -102,7 +102,7 @@ def score(spark, tokens, scopes=(), ranges=(), tau=1.0, alpha=0.8, mode="structu
 
 
 def test_undivided_is_its_root(spark):
-    assert [round(r.llm_cc, 9) for r in score(spark, one_byte([None, 0.0, 0.0]), ranges=[(0, 3)])] == [0.2]
+    assert [round(r.tree_score, 9) for r in score(spark, one_byte([None, 0.0, 0.0]), ranges=[(0, 3)])] == [0.2]
 
 
 def test_empty(spark):
@@ -113,7 +113,7 @@ def test_worked_example(spark):
     depths = [0, 1, 0, 1, 2, 3, 4, 5, 1]
     units = spark.createDataFrame([(1, i, d) for i, d in enumerate(depths)], "file_id long, seq long, depth long")
     r = un.score_trees(units).first()
-    assert (r.n_units, r.total_level, round(r.llm_cc, 9)) == (9, 35, 14.4)
+    assert (r.n_units, r.total_level, round(r.tree_score, 9)) == (9, 35, 14.4)
 
 
 def test_deep_nesting(spark):

@@ -48,4 +48,4 @@ def test_registry():
 
 def test_entry(spark):
     rows = entry.entry(spark).collect()
-    assert len(rows) == 20 and rows[0].llm_cc >= rows[-1].llm_cc
+    assert len(rows) == 20 and rows[0].tree_score >= rows[-1].tree_score

@@ -143,7 +143,7 @@ def test_sinks(spark, tmp_path):
     assert sinks.fit_sections([(0, "aa"), (1, "bb")], 3) == "aa" and sinks.fit_sections([(0, "a\nbcd")], 3) == "a\n"
     table = sinks.markdown_table([{"path": "a|`b", "base": 0.0, "head": 1.0, "absolute": 1.0}] * 30)
     assert "5 more" in table and "\\|" in table
-    assert "total: 1" in sinks.text_report([{"path": "a", "llm_cc": 1.0, "token_count": 3}], {"llm_cc": 1.0, "analyzed": 1})
+    assert "total: 1" in sinks.text_report([{"path": "a", "tree_score": 1.0, "token_count": 3}], {"tree_score": 1.0, "analyzed": 1})
     files = spark.createDataFrame([("a", None, 1), ("b", "bad", 2)], "path string, error string, result int")
     kinds = [r.line.split('"')[3] for r in sinks.event_lines(files, {}, files.limit(1).select("result")).orderBy("ord").collect()]
     assert kinds == ["start", "configuration", "file_start", "file", "file_start", "error", "totals"]
