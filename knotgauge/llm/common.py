@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,12 +52,20 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        schema = df.schema
-        df.write.parquet(path)
-        del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(schema).parquet(path)
+        with self.cleaning():
+            df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @contextlib.contextmanager
+    def cleaning(self) -> Iterator[None]:
+        """What is written in this block leaves no shuffle files behind once it is written."""
+        conf, name = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(name, "false")
+        conf.set(name, "true")
+        try:
+            yield
+        finally:
+            conf.set(name, before)
 
     def drop(self, name: str = "") -> None:
         try:

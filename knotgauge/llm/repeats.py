@@ -260,31 +260,37 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"knotgauge_texts_{uuid.uuid4().hex}"
     first = rows.join(owners.withColumnRenamed("sha", "_sha"), (F.col("doc_id") == F.col("owner")) & (F.col("sha") == F.col("_sha"))).select("owner", "v", "text")
-    first.repartition(parts, "owner", "v").write.option("path", f"{scratch.root}/texts").bucketBy(parts, "owner", "v").saveAsTable(table)
-    del first
+    with scratch.cleaning():
+        first.dropDuplicates(["owner", "v"]).write.option("path", f"{scratch.root}/texts").bucketBy(parts, "owner", "v").saveAsTable(table)
     texts = spark.table(table)
 
     keys = _anchor_rows(texts).groupBy("key").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a < b").select("key")
     keys = scratch.keep(keys, "keys")
     hits = scratch.keep(_anchor_rows(texts).join(keys, "key", "left_semi"), "hits")
+    scratch.drop("keys")
 
     def with_texts(places: DataFrame) -> DataFrame:
         lists = places.groupBy("owner", "v").agg(F.collect_list(F.struct(*[c for c in places.columns if c not in ("owner", "v")])).alias("hits")).hint("shuffle_hash")
         return texts.join(lists, ["owner", "v"]).select("owner", "v", F.col("text").cast("binary").alias("raw"), "hits")
 
-    found = _context_rows(with_texts(hits)).withColumn("seg", F.xxhash64("before", "after"))
-    found = scratch.keep(found, "contexts")
+    def contexts() -> DataFrame:
+        """Made twice, from texts and places: keeping them would take twice the corpus."""
+        return _context_rows(with_texts(hits)).withColumn("seg", F.xxhash64("before", "after"))
+
+    distinct = scratch.keep(contexts().groupBy("key", "seg", "before", "after").agg(F.min("owner").alias("least")), "distinct")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    distinct = scratch.keep(found.groupBy("key", "seg").agg(F.min("owner").alias("least"), F.first("before").alias("before"), F.first("after").alias("after")), "distinct")
     crowds = scratch.keep(distinct.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowds")
     masks = _mask_rows(distinct.join(crowds, "key", "left_anti")).unionByName(_crowd_masks(distinct.join(crowds, "key", "left_semi")))
     masks = scratch.keep(masks, "masks")
+    scratch.drop("distinct")
+    bounded_batches(spark)
 
-    places = found.select("owner", "v", "at", "key", "seg", F.octet_length("before").alias("nb"), F.octet_length("after").alias("na"))
+    places = contexts().select("owner", "v", "at", "key", "seg", F.octet_length("before").alias("nb"), F.octet_length("after").alias("na"))
     every = F.when(F.col("nb") + F.col("na") >= SPAN, F.expr(f"shiftleft(1L, na - {K} + 1) - shiftleft(1L, {LEFT} - nb)")).otherwise(F.lit(0))
     cuts = places.join(masks, ["key", "seg"]).select("owner", "v", "at", F.when(F.col("owner") > F.col("least"), every).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
     cuts = scratch.keep(cuts, "cuts")
-    bounded_batches(spark)
+    scratch.drop("hits")
+    scratch.drop("masks")
     cut = scratch.keep(_cut_rows(with_texts(cuts)).join(owners, ["owner", "v"]).select("sha", "owner", "n_removed", "n_spans", "kept_sha256"), "cut")
 
     known = owners.select("sha", "owner").join(cut.drop("owner"), "sha", "left").withColumnRenamed("sha", "_sha")
