@@ -96,19 +96,16 @@ def _context_rows(joined: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners, vs, raws, ats, keys = [], [], [], [], []
-            before, after = [], []
-            for owner, v, raw, hits in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                for hit in hits:
-                    at = hit["at"]
-                    keys.append(hit["key"])
-                    ats.append(at)
-                    before.append(raw[max(0, at - LEFT) : at][::-1])
-                    after.append(raw[at : at + SPAN])
-                owners += [owner] * len(hits)
-                vs += [v] * len(hits)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((owners, vs, ats, keys, before, after), kinds)], names=["owner", "v", "at", "key", "before", "after"])
+            lists = batch.column(3)
+            flat, n = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            at, end = flat.field("at").to_numpy(zero_copy_only=False), np.cumsum(n).tolist()
+            every, before, after = at.tolist(), [], []
+            for raw, a, b in zip(batch.column(2).to_pylist(), [0, *end], end):
+                back, size = raw[::-1], len(raw)
+                before += [back[size - p : size - p + LEFT] for p in every[a:b]]
+                after += [raw[p : p + SPAN] for p in every[a:b]]
+            owner, v = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(v), pa.array(at), flat.field("key"), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["owner", "v", "at", "key", "before", "after"])
 
     return joined.mapInArrow(run, "owner long, v int, at long, key long, before binary, after binary")
 
@@ -217,21 +214,22 @@ def _cut_rows(joined: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for owner, v, raw, hits in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                change = np.zeros(len(raw) + 1, np.int32)
-                for hit in hits:
-                    start, mask = hit["at"] - LEFT, hit["mask"]
-                    while mask:
-                        low = (mask & -mask).bit_length() - 1
-                        run_ = (~(mask >> low) & ((mask >> low) + 1)).bit_length() - 1  # ones from there on
-                        change[start + low] += 1
-                        change[start + low + run_ - 1 + SPAN] -= 1
-                        mask &= ~(((1 << run_) - 1) << low)
-                gone = np.cumsum(change[:-1]) > 0
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                rows.append((owner, v, int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest()))
+            # all texts of the batch end to end; no removed string reaches beyond its own
+            lists, raws = batch.column(3), batch.column(2).to_pylist()
+            flat, n = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum([0, *map(len, raws)])
+            first = flat.field("at").to_numpy(zero_copy_only=False) - LEFT + np.repeat(ends[:-1], n)
+            mask = flat.field("mask").to_numpy(zero_copy_only=False)
+            change = np.zeros(ends[-1] + 1, np.int32)
+            for s in range(LEFT + 1):
+                starts = first[(mask >> s) & 1 == 1] + s
+                np.add.at(change, starts, 1)
+                np.add.at(change, starts + SPAN, -1)
+            every, rows = np.cumsum(change[:-1]) > 0, []
+            for owner, v, raw, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raws, ends[:-1], ends[1:]):
+                gone = every[a:b]
+                spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
+                rows.append((owner, v, int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["owner", "v", "n_removed", "n_spans", "kept_sha256"])
 
