@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     table = f"knotgauge_texts_{uuid.uuid4().hex}"
     first = rows.join(owners.withColumnRenamed("sha", "_sha"), (F.col("doc_id") == F.col("owner")) & (F.col("sha") == F.col("_sha"))).select("owner", "v", "text")
     with scratch.cleaning():
-        first.dropDuplicates(["owner", "v"]).write.option("path", f"{scratch.root}/texts").bucketBy(parts, "owner", "v").saveAsTable(table)
+        first.dropDuplicates(["owner", "v"]).write.option("path", f"{scratch.root}/texts").option("compression", "zstd").bucketBy(parts, "owner", "v").saveAsTable(table)
     texts = spark.table(table)
 
     keys = _anchor_rows(texts).groupBy("key").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a < b").select("key")
