@@ -2,10 +2,13 @@
 
 Nodes of a document's CRF are its words with a digit or an at sign (all others are clamped to
 "nothing"). Neighbouring nodes share a chain potential; each node also shares a skip potential
-with the occurrence before it of the same word, or of the same digits, however distant: links
-per repeated word grow with its occurrences, not with their square. Loopy sum-product messages
-give marginals; a node outside the patterns' spans that is likelier one kind than nothing
-becomes a span of that kind.
+with one hub per key, a hidden node for all its occurrences in the document, however distant:
+links grow with the occurrences, not with their square, and each is one link from any other. The
+key is the word's digits if it has seven, else the word (equal words have equal digits). A hub
+with an occurrence in a pattern's span is observed, as the pattern is certain: no number of bare
+occurrences outvotes it. Loopy sum-product messages, run until they settle, give marginals; a
+node outside the patterns' spans that is likelier one kind than nothing becomes a span of that
+kind.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ _named = re.compile(r"token|secret|passw|api[_-]?key|credential", re.I).search
 
 #: Potentials, in log units: of words in a pattern's span, of nothing, of skip and chain links between equal labels.
 IN_SPAN, NOTHING, SKIP, CHAIN = 6.0, 2.0, 2.0, 0.6
-ROUNDS, DAMPING = 12, 0.3
+DAMPING, SETTLED = 0.3, 1e-4
 
 
 def passes_luhn(digits: str) -> bool:
@@ -91,6 +94,29 @@ def _unary(word: str, before: tuple[str, str]) -> list[float]:
     return score
 
 
+def settle(u: np.ndarray, edges: list[tuple[int, int, float]], chains: int, most_rounds: int = 10_000) -> np.ndarray:
+    """Scores of all nodes once the messages have settled; the first `chains` edges bind entities only."""
+    a, b, w = (np.array(c) for c in zip(*edges))
+    source, target, n = np.concatenate([a, b]), np.concatenate([b, a]), len(edges)
+    bonus = np.repeat(w[:, None], u.shape[1], 1)
+    bonus[:chains, 0] = 0.0
+    gain = np.expm1(np.concatenate([bonus, bonus]))
+    message = np.zeros((2 * n, u.shape[1]))
+    back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
+    for _ in range(most_rounds):
+        belief = u.copy()
+        np.add.at(belief, target, message)
+        out = belief[source] - message[back]
+        out -= out.max(1, keepdims=True)
+        p = np.exp(out)
+        new = np.log(p.sum(1, keepdims=True) + p * gain)
+        new -= new.max(1, keepdims=True)
+        if np.abs(new - message).max() < SETTLED:
+            return belief
+        message = DAMPING * message + (1 - DAMPING) * new
+    raise RuntimeError(f"messages did not settle in {most_rounds} rounds")
+
+
 def skip_chain_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """The spans that the CRF adds to the patterns' spans."""
     nodes, places, unary, keys = [], [], [], []
@@ -109,41 +135,27 @@ def skip_chain_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[
             nodes.append(k)
             places.append((m.start(), m.end(), bool(inside), core))
             unary.append(score)
-            keys.append((core if len(core) >= 6 else "", "#" + digits if len(digits) >= 7 else ""))
+            keys.append("#" + digits if len(digits) >= 7 else core if len(core) >= 6 else "")
         before = (before[1], word)
     if not nodes:
         return []
-    edges, last = [], {}
-    for i in range(len(nodes)):
-        if i and nodes[i] == nodes[i - 1] + 1:
-            edges.append((i - 1, i, CHAIN, 0))
-        linked = {last[x] for x in keys[i] if x and x in last}
-        edges += [(j, i, SKIP, 1) for j in sorted(linked)]
-        last.update((x, i) for x in keys[i] if x)
     u = np.array(unary)
-    marginal = u
-    if edges:
-        a, b, w, skip = (np.array(c) for c in zip(*edges))
-        source, target, n = np.concatenate([a, b]), np.concatenate([b, a]), len(edges)
-        labels = u.shape[1]
-        bonus = np.repeat(w[:, None], labels, 1)
-        bonus[skip == 0, 0] = 0.0  # the chain binds entities only
-        bonus = np.concatenate([bonus, bonus])
-        message = np.zeros((2 * n, labels))
-        back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
-        for _ in range(ROUNDS):
-            belief = u.copy()
-            np.add.at(belief, target, message)
-            out = belief[source] - message[back]
-            out -= out.max(1, keepdims=True)
-            p = np.exp(out)
-            new = np.log(p.sum(1, keepdims=True) + p * np.expm1(bonus))
-            new -= new.max(1, keepdims=True)
-            if np.abs(new - message).max() < 1e-4:
-                break
-            message = DAMPING * message + (1 - DAMPING) * new
-        marginal = u.copy()
-        np.add.at(marginal, target, message)
+    edges = [(i - 1, i, CHAIN) for i in range(1, len(nodes)) if nodes[i] == nodes[i - 1] + 1]
+    chains, groups = len(edges), {}
+    for i, key in enumerate(keys):
+        if key:
+            groups.setdefault(key, []).append(i)
+    hidden = 0
+    for some in groups.values():
+        seen = [i for i in some if places[i][2]]
+        if seen:
+            p = np.exp(u[seen].max(0))
+            u[[i for i in some if not places[i][2]]] += np.log1p(p / p.sum() * np.expm1(SKIP))
+        elif len(some) > 1:
+            edges += [(i, len(nodes) + hidden, SKIP) for i in some]
+            hidden += 1
+    u = np.concatenate([u, np.zeros((hidden, u.shape[1]))])
+    marginal = settle(u, edges, chains) if edges else u
     found = []
     for (start, end, inside, core), row in zip(places, marginal):
         if not inside and (k := int(row.argmax())) and core:

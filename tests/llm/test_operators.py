@@ -453,3 +453,16 @@ def test_skip_links_carry_labels():
     assert len(pii.all_spans(alone)[1]) <= 1
     assert pii.all_spans("plain words, no numbers")[1] == [] and pii.all_spans("chapter 12, page 340 of 2019")[1] == []
     assert pii.redact(None) is None and pii.redact("") == "" and pii.redact("a@b.c") == "[EMAIL]"
+
+
+@pytest.mark.parametrize("repeats", [1, 3, 20, 1000])
+def test_all_repeats_of_a_found_token_are_found(repeats):
+    """However many there are, and wherever the found one is among them; a number that no pattern finds stays."""
+    far = " and some plain words until "
+    bare = far.join(["5551234567"] * repeats)
+    for text in (f"call +5551234567{far}{bare}", f"{bare}{far}call +5551234567"):
+        base, every = pii.all_spans(text)
+        assert len(base) == 1 and [k for k, *_ in every] == ["phone"] * (repeats + 1)
+    assert pii.all_spans(bare)[1] == []
+    secret = "Zk81mQ7xP2vT94LbR6aa"
+    assert [k for k, *_ in pii.all_spans(far.join([f"token = {secret}", *[secret] * repeats]))[1]] == ["secret"] * (repeats + 1)
