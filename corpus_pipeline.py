@@ -16,7 +16,7 @@ from knotgauge.llm.mixing import emit_mix
 from knotgauge.llm.packing import best_fit_pack
 from knotgauge.llm.pii import redact_personal_data
 from knotgauge.llm.queries import CAPACITY, vocabulary
-from knotgauge.llm.simhash import drop_near_duplicates
+from knotgauge.llm.similar import drop_similar
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id stays."""
-    return drop_near_duplicates(docs)
+    """Of each group of near copies (five-word shingles, a similarity of 0.8 or more), the document with the smallest doc_id stays."""
+    return drop_similar(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

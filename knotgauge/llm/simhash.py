@@ -148,7 +148,11 @@ def drop_near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
 
     Columns as in docs. Repeated rows (same doc_id and text) count as copies and leave one.
     """
-    found = group_near_duplicates(docs, width)
+    return leave_one(docs, group_near_duplicates(docs, width))
+
+
+def leave_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each root of found (doc_id, text_hash, root), the document with the smallest doc_id."""
     keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))).alias("k"))
     key = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), h.cast("string"))
     keep = keep.select(key(F.col("k.b"), F.col("k.c")).alias("_kept"))
