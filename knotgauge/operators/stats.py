@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import random
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,19 +76,42 @@ def inverse_percentile(rows: DataFrame, value: str, target: float, by: list[str]
     return rows.select(*by).distinct().join(hit, by, "left").select(*by, F.coalesce("percentile", F.lit(100.0)).alias("percentile"))
 
 
-def bootstrap_interval(rows: DataFrame, x: str, y: str, resamples: int = 2000, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """Interval of the rank correlation of few rows (a scoring run's files) under resampling (a20).
+def bootstrap_interval(rows: DataFrame, x: str, y: str, by: list[str], resamples: int = 2000, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """Interval of the rank correlation of each group (a scoring run's files) under resampling, and how many resamples have one (a20).
 
-    Indices are drawn on the driver from a fixed seed: resamples * rows of them, rows being a run's files.
+    Draws are made on executors, seeded by the group's hash: the same whatever the partitions.
     """
-    numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(x, y)) - 1).select("_i", F.col(x).alias("x"), F.col(y).alias("y"))
-    n, rng = numbered.count(), random.Random(seed)
-    drawn = numbered.sparkSession.createDataFrame([(r, rng.randrange(n)) for r in range(resamples) for _ in range(n)] if n else [], "r int, _i int")
-    rho = spearman(drawn.join(numbered, "_i"), "x", "y", ["r"]).where("rho is not null")
-    sorted_ = rho.agg(F.array_sort(F.collect_list("rho")).alias("a"))
-    low, high = (1 - level) / 2, (1 + level) / 2
-    at = lambda p: F.expr(f"try_element_at(a, int((size(a) - 1) * {p}) + 1)")
-    return sorted_.select(at(low).alias("low"), at(high).alias("high"), F.size("a").alias("n"))
+
+    def interval(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values(["_x", "_y"])
+        n, rng, rho = len(run), np.random.default_rng([seed, int(run["_key"].iloc[0]) % 2**64]), []
+        step = max(1, 2_000_000 // n)
+        for start in range(0, resamples, step):
+            k = min(step, resamples - start)
+            drawn = rng.integers(0, n, (k, n)) + np.arange(k)[:, None] * n
+            times = np.bincount(drawn.ravel(), minlength=k * n).reshape(k, n)
+            a, b = (_centred_ranks(run[c].to_numpy(), times) for c in ("_x", "_y"))
+            xy, xx, yy = ((times * p * q).sum(1) for p, q in ((a, b), (a, a), (b, b)))
+            varies = (xx > 0) & (yy > 0)
+            rho.append(xy[varies] / np.sqrt(xx[varies] * yy[varies]))
+        a = np.sort(np.concatenate(rho))
+        at = lambda p: a[int((len(a) - 1) * p)] if len(a) else None
+        return run[by].head(1).assign(low=at((1 - level) / 2), high=at((1 + level) / 2), n=len(a))
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+    keyed = rows.select(*by, F.xxhash64(*by).alias("_key"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    return keyed.groupBy(*by).applyInPandas(interval, f"{types}, low double, high double, n long")
+
+
+def _centred_ranks(values: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Ranks less their mean, ties at their mean, where each row of times takes the values so often."""
+    order = np.argsort(values, kind="stable")
+    _, first, back = np.unique(values[order], return_index=True, return_inverse=True)
+    many = np.add.reduceat(times[:, order], first, axis=1)
+    ranks = (many.cumsum(1) - (many - 1) / 2.0)[:, back]
+    out = np.empty_like(ranks)
+    out[:, order] = ranks
+    return out - (times.sum(1, keepdims=True) + 1) / 2.0
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:

@@ -88,8 +88,8 @@ def mean_median(spark, sf_dir):
 
 @query("a20_bootstrap_interval")
 def bootstrap(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_partkey <= 40").select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
-    return st.bootstrap_interval(rows, "x", "y", 500)
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 100).alias("g"), "p_size", "p_retailprice")
+    return st.bootstrap_interval(rows, "p_size", "p_retailprice", ["g"])
 
 
 @query("a21_repeat_difference", "WITH r AS (SELECT o_custkey, o_orderpriority AS run, avg(o_totalprice) AS v FROM orders GROUP BY o_custkey, o_orderpriority) SELECT o_custkey, round(max(v) - min(v), 7) AS most FROM r GROUP BY o_custkey")

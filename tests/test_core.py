@@ -147,3 +147,28 @@ def test_levels_fold(spark):
     units = spark.createDataFrame([(k, i, d) for k, run in enumerate(runs) for i, d in enumerate(run)], "file_id long, seq long, depth long")
     got = {r.file_id: r.lv for r in un.depths_in_order(units).selectExpr("file_id", f"{un.FOLD} as lv").collect()}
     assert got == {k: levels(run) for k, run in enumerate(runs)}
+
+
+def test_bootstrap_takes_all_rows(spark):
+    """Each run of the whole table has an interval of 2,000 resamples; drawn ranks are those of the plain method."""
+    import numpy as np
+    import pandas as pd
+
+    from knotgauge.operators import stats as st
+    from knotgauge.plans import PLANS
+
+    sf = "/root/testdata/sf0.001"
+    part = spark.read.parquet(f"{sf}/part.parquet").toPandas()
+    got = PLANS["a20_bootstrap_interval"](spark, sf).toPandas()
+    assert sorted(got["g"]) == sorted((part["p_partkey"] % 100).unique())
+    varies = part.groupby(part["p_partkey"] % 100)[["p_size", "p_retailprice"]].nunique().min(axis=1) > 1
+    assert ((got.set_index("g")["n"] > 0).sort_index() == varies.sort_index()).all() and got["n"].max() <= 2000
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({"g": 1, "x": rng.integers(0, 9, 30), "y": rng.random(30)})
+    one = st.bootstrap_interval(spark.createDataFrame(rows), "x", "y", ["g"]).first()
+    assert one.n == 2000 and one.low < rows["x"].rank().corr(rows["y"].rank()) < one.high
+    drawn = rng.integers(0, 30, (5, 30))
+    times = np.array([np.bincount(d, minlength=30) for d in drawn])
+    ranks = st._centred_ranks(rows["x"].to_numpy(), times)
+    for d, r in zip(drawn, ranks):
+        assert np.allclose(r[d], rows["x"][d].rank().to_numpy() - 15.5)
