@@ -232,9 +232,11 @@ def artifacts(spark, sf_dir):
 
 @query("f01_hex", "SELECT doc_id, hex(encode(text[1:20])) AS encoded, TRUE AS back, TRUE AS odd_is_null FROM documents")
 def hexes(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 20).alias("t"))
+    """Whole texts are encoded and decoded; as in the twin, the first 20 characters' digits are shown."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     e = F.hex(F.col("t").cast("binary"))
-    return docs.select("doc_id", e.alias("encoded"), (sc.decode_hex(e) == F.col("t").cast("binary")).alias("back"), sc.decode_hex(F.concat(e, F.lit("F"))).isNull().alias("odd_is_null"))
+    shown = e.substr(F.lit(1), 2 * F.octet_length(F.substring("t", 1, 20)))
+    return docs.select("doc_id", shown.alias("encoded"), (sc.decode_hex(e) == F.col("t").cast("binary")).alias("back"), sc.decode_hex(F.concat(e, F.lit("F"))).isNull().alias("odd_is_null"))
 
 
 @query("f02_utf8", "SELECT doc_id, TRUE AS valid, length(text) AS code_points, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents")

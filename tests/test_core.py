@@ -172,3 +172,15 @@ def test_bootstrap_takes_all_rows(spark):
     ranks = st._centred_ranks(rows["x"].to_numpy(), times)
     for d, r in zip(drawn, ranks):
         assert np.allclose(r[d], rows["x"][d].rank().to_numpy() - 15.5)
+
+
+def test_hex_takes_whole_texts(spark, monkeypatch):
+    """A decoder that loses all after 80 bytes is seen in each longer text."""
+    from knotgauge.plans import PLANS, statistics
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert all(r.back and r.odd_is_null and docs[r.doc_id].hex().upper().startswith(r.encoded) for r in PLANS["f01_hex"](spark, sf).collect())
+    decode = statistics.sc.decode_hex
+    monkeypatch.setattr(statistics.sc, "decode_hex", lambda e: decode(e.substr(1, 160)))
+    assert all(r.back == (len(docs[r.doc_id]) <= 80) for r in PLANS["f01_hex"](spark, sf).collect())
