@@ -1,9 +1,14 @@
-"""Shared plumbing: table reads, bounded Arrow batches, scratch tables, word splitting."""
+"""Shared plumbing: table reads, rows whole, scratch tables, word splitting.
+
+Arrow batches of whole texts are bounded in bytes by Spark itself (arrow.maxBytesPerBatch, 64 MB
+unless the session says otherwise), so no operator changes the session's batch size.
+"""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,21 +24,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small, so that a batch of very long texts still fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns as one struct: names of an operator's own beside it cannot clash with the caller's, dots in names do no harm."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """`name`, with underscores added until no column has it."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a local one, but for a local master only."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
     if not (own := sc.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="knotgauge-"))
         own = sc.getCheckpointDir()
     return own.rstrip("/")

@@ -3,7 +3,13 @@
 Lengths are at most `capacity`, so the corpus is planned as a histogram of at most `capacity`
 lengths: its size does not grow with the data. The driver turns the histogram into patterns
 (tuples of lengths with a multiplicity); executors give each piece its rank among the pieces
-of its length and look the rank up in the pattern table.
+of its length and look the rank up in the pattern table. Pieces as long as a sequence need no
+plan and are not ranked.
+
+A plan has two phases, always both: combinations that fill gaps exactly, then best fit for the
+residuals. Short pieces are what best fit closes small gaps with, so the exact phase leaves
+those under a reserve length alone. The reserve is chosen on the histogram: of RESERVES, the one
+whose plan has the fewest sequences, the smallest of equals.
 """
 
 from __future__ import annotations
@@ -20,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, bounded_batches
+from .common import Scratch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
-#: Pieces of one length are ranked in so many groups, so that a very common length is no single task.
-RANK_GROUPS = 256
+#: About so many pieces are ranked by one task; a very common length is dealt out over as many as it takes.
+RANK_ROWS = 250_000
+#: Lengths under which pieces are kept out of the exact phase, in 64ths of the capacity.
+RESERVES = (0, 2, 4, 6, 8, 10, 12, 14, 16, 20, 24)
 
 
 #: Fixed value: the vocabulary's one special token; it takes the id after the last rank.
@@ -50,7 +58,6 @@ def id_encoder(tokenizer_path: str, ranks_path: str | None = None) -> Callable[[
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, ranks_path: str | None = None) -> DataFrame:
     """One row per piece of each document's ids (its text's, then id 0). Only longer documents are cut; the first piece takes the remainder."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = id_encoder(tokenizer_path, ranks_path)
@@ -74,65 +81,76 @@ Plan = list[tuple[tuple[int, ...], int]]
 
 
 def plan_patterns(histogram: dict[int, int], capacity: int = 2048) -> Plan:
-    """Patterns (lengths, how many sequences) that use up the histogram.
+    """Patterns (lengths, how many sequences) that use up the histogram: exact complements under the best reserve, then best fit."""
+    return min((plan_with_reserve(histogram, capacity, capacity * r // 64) for r in RESERVES), key=lambda x: sum(k for _, k in x[0] + x[1]), default=([], [], []))[2]
 
-    Exact complements first, best fit for what is left. With few distinct lengths, filling some
-    gaps exactly can leave worse ones than best fit alone; then that plan is taken.
-    """
+
+def plan_with_reserve(histogram: dict[int, int], capacity: int, reserve: int) -> tuple[Plan, Plan, Plan]:
+    """The exact phase over lengths of `reserve` or more, best fit for all that is left, and both."""
     left = np.zeros(capacity + 1, np.int64)
     for length, count in histogram.items():
         left[length] += count
-    alone = best_fit(left.copy(), capacity)
-    exact = exact_complements(left, capacity)
-    exact += best_fit(left, capacity)
-    return min(exact, alone, key=lambda plan: sum(k for _, k in plan))
+    exact = exact_complements(left, capacity, reserve)
+    residual = best_fit(left, capacity)
+    return exact, residual, exact + residual
+
+
+def pair_sums(lengths: np.ndarray, capacity: int) -> dict[int, np.ndarray]:
+    """The hash of pair sums: sum -> its larger parts, the largest first."""
+    at = np.arange(len(lengths))
+    i, j = (x.ravel() for x in np.meshgrid(at, at, indexing="ij"))
+    i, j = (x[(lengths[i] >= lengths[j]) & (lengths[i] + lengths[j] < capacity)] for x in (i, j))
+    sums, larger = lengths[i] + lengths[j], lengths[i]
+    order = np.lexsort((-larger, sums))
+    sums, larger = sums[order], larger[order]
+    keys, first = np.unique(sums, return_index=True)
+    return dict(zip(keys.tolist(), np.split(larger, first[1:])))
 
 
-def exact_complements(left: np.ndarray, capacity: int) -> Plan:
+def exact_complements(left: np.ndarray, capacity: int, reserve: int = 0) -> Plan:
     """From the longest length down: its gap filled exactly by one, two or three lengths found by hashed sums, each
-    combination consumed as often as the counts `left` allow. What it uses is taken from `left`."""
+    combination consumed as often as the counts `left` allow. What it uses is taken from `left`; lengths under `reserve` are not used."""
     plan: Plan = []
     if left[capacity]:
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-
-    def uses(pattern: tuple[int, ...]) -> int:
-        return min(int(left[x]) // pattern.count(x) for x in set(pattern))
-
-    def take(pattern: tuple[int, ...]) -> bool:
-        if not (k := uses(pattern)):
-            return False
-        for x in pattern:
-            left[x] -= k
-        plan.append((pattern, k))
-        return True
-
-    for longest in range(capacity - 1, 0, -1):
+    there = np.flatnonzero(left)
+    there = there[there >= max(reserve, 1)]
+    sums = pair_sums(there, capacity)
+    usable = np.zeros(capacity + 1, bool)
+    usable[there] = True
+    paired = np.zeros(capacity + 1, bool)  # sums that still have a pair; counts only fall, so one that has lost its pairs stays lost
+    paired[list(sums)] = True
+
+    def take(pattern: tuple[int, ...]) -> None:
+        if k := min(int(left[x]) // pattern.count(x) for x in set(pattern)):
+            for x in pattern:
+                left[x] -= k
+            plan.append((pattern, k))
+
+    def take_pairs(before: tuple[int, ...], rest: int) -> None:
+        """Fills `rest` with pairs of that sum for as long as there are sequences that begin with `before`."""
+        larger = sums.get(rest, there[:0])
+        larger = larger[(left[larger] > 0) & (left[rest - larger] > 0)]
+        sums[rest], paired[rest] = larger, len(larger) > 0
+        for b in larger.tolist():
+            take((*before, b, rest - b))
+            if not all(left[x] for x in before):
+                return
+
+    for longest in there[::-1].tolist():
         gap = capacity - longest
-        if left[longest] and left[gap]:
-            take((longest, gap) if gap != longest else (longest, longest))
-        tried = 0
-        while left[longest] and gap > 1:
-            # pair sums: the larger part a and its complement gap - a, both there; the larger a first
-            a = np.arange(min(gap - 1, longest), (gap - 1) // 2, -1)
-            hits = a[(left[a] > 0) & (left[gap - a] > 0)]
-            if not sum([take((longest, int(x), gap - int(x))) for x in hits if left[longest]]):
-                break
-        while left[longest] and gap > 2 and tried < capacity:
-            # triple sums: for each largest part a, pairs b >= c with b + c = gap - a
-            found = False
-            for a in np.flatnonzero(left[: min(gap - 2, longest) + 1])[::-1]:
-                rest, tried = gap - int(a), tried + 1
-                b = np.arange(min(rest - 1, int(a)), (rest - 1) // 2, -1)
-                for x in b[(left[b] > 0) & (left[rest - b] > 0)]:
-                    if left[longest] and take((longest, int(a), int(x), rest - int(x))):
-                        found = True
-                        break
-                if found or not left[longest]:
+        if left[longest] and usable[gap] and left[gap]:
+            take((longest, gap))
+        if left[longest] and paired[gap]:
+            take_pairs((longest,), gap)
+        if left[longest] and gap > 2:
+            thirds = np.arange(min(gap - 2, longest), 0, -1)
+            for a in thirds[usable[thirds] & (left[thirds] > 0) & paired[gap - thirds]].tolist():
+                if left[a] and paired[gap - a]:
+                    take_pairs((longest, a), gap - a)
+                if not left[longest]:
                     break
-            if not found:
-                break
-
     return plan
 
 
@@ -186,33 +204,37 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, ra
     """Packs every document into sequences of at most `capacity` tokens; one row per piece.
 
     Null text counts as empty (one id 0); null ids and repeated rows are packed like any other;
-    no documents, no rows. Sequences are gapless from offset 0. Collected to the driver: counts by
-    length and rank group only, at most capacity * RANK_GROUPS numbers.
+    no documents, no rows. Sequences are gapless from offset 0; those of one piece of full length
+    have negative ids. Collected to the driver: counts by length, and by length and rank group,
+    which are one for RANK_ROWS pieces and one more for each length.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_GROUPS)).cast("int")
-    pieces = scratch.keep(cut_pieces(docs, tokenizer_path, capacity, ranks_path).withColumn("_group", group), "pieces")
-    counts = sorted(tuple(r) for r in pieces.groupBy("length", "_group").count().collect())
-    before = np.zeros((capacity + 1, RANK_GROUPS), np.int64)
-    total: dict[int, int] = defaultdict(int)
-    for length, g, n in counts:
-        before[length, g] = total[length]
-        total[length] += n
+    # the salt deals equal pieces out over groups; it is written, so ranks are the same however often a task is repeated
+    pieces = scratch.keep(cut_pieces(docs, tokenizer_path, capacity, ranks_path).withColumn("_salt", F.rand(7)), "pieces")
+    full, short = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    total = {r["length"]: r["count"] for r in short.groupBy("length").count().collect()}
     tables = slot_tables(plan_patterns(total, capacity), capacity)
+    share = F.element_at(F.map_from_arrays(*(F.array(*map(F.lit, x)) for x in ([0, *total], [1, *(-(-n // RANK_ROWS) for n in total.values())]))), F.col("length").cast("int"))
+    short = short.withColumn("_group", F.floor(F.col("_salt") * share).cast("int"))
+    before: dict[int, np.ndarray] = {}
+    for length, g, n in sorted(tuple(r) for r in short.groupBy("length", "_group").count().collect()):
+        starts = before.setdefault(length, np.zeros(-(-total[length] // RANK_ROWS) + 1, np.int64))
+        starts[g + 1] = n
+    before = {length: np.cumsum(starts) for length, starts in before.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, g, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_group", "_rank"))
-            rank = rank - 1 + before[length, g]
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for n in np.unique(length):
                 at = length == n
                 lo, first, off = tables[int(n)]
-                slot = np.searchsorted(lo, rank[at], "right") - 1
-                sequence[at], offset[at] = first[slot] + rank[at] - lo[slot], off[slot]
+                ranks = rank[at] - 1 + before[int(n)][g[at]]
+                slot = np.searchsorted(lo, ranks, "right") - 1
+                sequence[at], offset[at] = first[slot] + ranks - lo[slot], off[slot]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "ids_crc32")))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    return ranked.mapInArrow(place, PACKED)
+    ranked = short.drop("_salt").withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "ids_crc32")))
+    alone = full.drop("_salt").withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return ranked.mapInArrow(place, PACKED).unionByName(alone)
