@@ -61,10 +61,16 @@ l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE)
         / CAST(sum(weight) OVER (u ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
       FROM w WINDOW u AS (ORDER BY CAST(source_size AS DOUBLE) / CAST(weight AS DOUBLE), source NULLS LAST)),
 t AS (SELECT source, source_size, least(CAST(3 AS DOUBLE) * CAST(source_size AS DOUBLE), max(level) OVER () * CAST(weight AS DOUBLE)) AS target FROM l),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / CAST(t.source_size AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS rate,
-        CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS coin
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (CAST(floor(rate) AS BIGINT) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS rate FROM t),
+f AS (SELECT *, CAST(floor(rate) AS BIGINT) AS whole, least(CAST(ceil((rate - floor(rate)) * CAST(4294967296 AS DOUBLE)) AS BIGINT), 4294967295) AS below FROM r),
+c AS (SELECT d.doc_id, d.source, d.size, k.k,
+        CAST('0x' || substr(sha256('mix:' || CAST(k.k // 8 AS VARCHAR) || ':' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), CAST(8 * (k.k % 8) + 1 AS INTEGER), 8) AS BIGINT) AS coin
+      FROM d CROSS JOIN (SELECT unnest(range(64)) AS k) k),
+g AS (SELECT f.source, c.k, abs(CAST(f.source_size * f.whole + sum(CASE WHEN c.coin < f.below THEN c.size ELSE 0 END) AS DOUBLE) - f.target) AS off
+      FROM c JOIN f ON c.source IS NOT DISTINCT FROM f.source GROUP BY f.source, c.k, f.source_size, f.whole, f.target),
+b AS (SELECT source, k FROM (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY off, k) AS nth FROM g) WHERE nth = 1)
+SELECT c.doc_id, c.size, f.source_size, f.target, CAST(c.size * (f.whole + CASE WHEN c.coin < f.below THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.k = b.k JOIN f ON c.source IS NOT DISTINCT FROM f.source
 """
 
 
