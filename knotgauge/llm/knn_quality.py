@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
 
 #: Bounds of the fit, whatever the corpus: labelled rows (the least by hash of their id), terms, latent dimensions.
 FIT_ROWS, TERMS, DIMENSIONS = 3000, 512, 48
@@ -103,7 +102,6 @@ def fit_voters(docs: DataFrame, labels: DataFrame) -> LatentVoters:
         return LatentVoters.fit(np.zeros((0, 0)), np.zeros(0))
     few = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "_id long"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounded_batches(docs.sparkSession)
     rows = slim.join(few, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(_terms, "doc_id long, terms binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.terms)))
     return LatentVoters.fit(np.array([np.frombuffer(bytes(r.terms), np.float32) for r in rows]).reshape(len(rows), -1), np.array([chosen[r.doc_id] for r in rows]))
@@ -117,7 +115,6 @@ def quality_scores(docs: DataFrame, voters: LatentVoters) -> DataFrame:
     Empty table: no rows.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(voters)  # bounded: FIT_ROWS x DIMENSIONS and TERMS x DIMENSIONS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
 
 CONTENT, BOILERPLATE = 0, 1
 #: Bounds of the fit: so many labelled documents (the least by hash of their id), of so many lines at most.
@@ -183,7 +182,6 @@ def quality_rules(docs: DataFrame, crf: LineCrf, least_share: float = 0.5) -> Da
     a text without lines with words has no content. Empty table: no rows. content_words: words on
     lines that Viterbi decoding marks as content; kept if their share is at least `least_share`.
     """
-    bounded_batches(docs.sparkSession)
     kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.int64()]
     names = [x.split()[0] for x in SCORED.split(", ")]
 
@@ -218,5 +216,4 @@ def keep_good(docs: DataFrame, crf: LineCrf, least_share: float = 0.5) -> DataFr
             out.append(good)
         return pd.Series(out, dtype=bool)
 
-    bounded_batches(docs.sparkSession)
     return docs.where(kept(F.col("text")))

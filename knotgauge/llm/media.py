@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
 
 #: Fixed values of the PNG format: its signature, and channels by colour type.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -140,7 +139,6 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     and makes one row of spaces. Equal texts give equal values. A payload read back that is not the
     one stored raises BrokenPng. Empty table: no rows.
     """
-    bounded_batches(docs.sparkSession, 64)
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("media", pa.binary())][: None if keep_media else -1]
 
     def one(doc_id: int | None, raw: bytes) -> tuple:

@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
 
 #: Fixed values of the contract: kinds in their order. "secret" is found by the CRF alone.
 BASE = ("email", "ip", "card", "phone")
@@ -200,7 +199,6 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     Null text counts as empty and has no spans; null ids and repeated rows are searched like any
     other. Empty table: no rows.
     """
-    bounded_batches(docs.sparkSession)
     kinds = [pa.int64()] * 5 + [pa.string()] * 2
     names = [x.split()[0] for x in FOUND.split(", ")]
 
@@ -222,6 +220,5 @@ def redact_personal_data(docs: DataFrame) -> DataFrame:
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(redact, na_action="ignore")
 
-    bounded_batches(docs.sparkSession)
     out = docs.withColumn("text", clean(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
