@@ -80,6 +80,9 @@ class LatentVoters:
         for i in range(0, len(terms), block):
             near = self._unit((terms[i : i + block] * self.idf).astype(float) @ self.basis) @ self.vectors.T
             top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            least = np.take_along_axis(near, top[:, k - 1 :], 1)
+            for row in np.flatnonzero((near >= least).sum(1) > k):  # ties at the edge: the first in the sample
+                top[row] = np.argsort(-near[row], kind="stable")[:k]
             weight = np.maximum(np.take_along_axis(near, top, 1).astype(float), 0) ** 8 + 1e-9
             out.append((weight * self.labels[top]).sum(1) / weight.sum(1))
         return np.clip(np.concatenate(out), 0, 1).round(9) if out else np.zeros(0)
@@ -102,8 +105,9 @@ def fit_voters(docs: DataFrame, labels: DataFrame) -> LatentVoters:
         return LatentVoters.fit(np.zeros((0, 0)), np.zeros(0))
     few = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "_id long"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = slim.join(few, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(_terms, "doc_id long, terms binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.terms)))
+    # repeated rows: one text of each id (the least terms), so that FIT_ROWS bounds what is collected and no id counts twice
+    rows = slim.join(few, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(_terms, "doc_id long, terms binary").groupBy("doc_id").agg(F.min("terms").alias("terms")).collect()
+    rows.sort(key=lambda r: r.doc_id)
     return LatentVoters.fit(np.array([np.frombuffer(bytes(r.terms), np.float32) for r in rows]).reshape(len(rows), -1), np.array([chosen[r.doc_id] for r in rows]))
 
 

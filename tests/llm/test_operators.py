@@ -76,12 +76,20 @@ def test_blocked_votes_are_exact():
     assert np.allclose(v.score(q, block=7), plain, atol=1e-5)
 
 
+def test_equal_neighbours_count_by_their_order():
+    vectors, labels = np.tile([1.0, 0.0], (400, 1)), (np.arange(400) < 15).astype(np.float32)
+    v = knn_quality.LatentVoters(np.ones(2, np.float32), np.eye(2), vectors, labels, 0.5)
+    assert v.score(np.array([[1.0, 0.0]], np.float32)).tolist() == [1.0]
+    v.vectors[200] = [0.6, 0.8]
+    assert v.score(np.array([[0.6, 0.8]], np.float32))[0] > 0
+
+
 def test_held_out_rows_are_not_learned(spark, docs):
     held = {i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0}
     a = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     b = spark.createDataFrame([(i, 1 - i % 2 if i in held else i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     x, y = knn_quality.fit_voters(docs, a), knn_quality.fit_voters(docs, b)
-    assert np.array_equal(x.vectors, y.vectors) and np.array_equal(x.labels, y.labels) and len(x.labels) == sum(r[0] is not None and r[0] < 60 and r[0] not in held for r in ROWS)
+    assert np.array_equal(x.vectors, y.vectors) and np.array_equal(x.labels, y.labels) and len(x.labels) == len({r[0] for r in ROWS if r[0] is not None and r[0] < 60 and r[0] not in held})
 
 
 # -- 2: line labelling
@@ -123,11 +131,74 @@ def test_fit_separates(spark, docs, labels):
     x[:, 0] = 1
     junk = x.copy()
     junk[:, 3] = 1
-    crf = line_crf.LineCrf(np.zeros((2, len(line_crf.FEATURES))), np.zeros((2, 2))).fit([(x, 0)] * 5 + [(junk, 1)] * 5)
+    crf = line_crf.LineCrf(np.zeros((2, len(line_crf.FEATURES))), np.zeros((2, 2))).fit([(x, np.zeros(4, int))] * 5 + [(junk, np.ones(4, int))] * 5)
     assert crf.viterbi(x).sum() == 0 and crf.viterbi(junk).sum() == 4
     assert isinstance(line_crf.fit_line_crf(docs, labels), line_crf.LineCrf) and isinstance(line_crf.fit_line_crf(docs, labels.limit(0)), line_crf.LineCrf)
 
 
+def test_likelihood_and_gradient_by_all_paths():
+    rng = np.random.default_rng(3)
+    n, longest, size = 4, 5, 2 * len(line_crf.FEATURES) + 4
+    x, y, there, each = rng.normal(size=(n, longest, len(line_crf.FEATURES))), rng.integers(0, 2, (n, longest)), np.arange(longest) < np.array([[5], [1], [3], [4]]), rng.random(n)
+    theta = rng.normal(size=size)
+
+    def plain(theta):
+        w, moves, total = theta[:-4].reshape(2, -1), theta[-4:].reshape(2, 2), 0.0
+        for i in range(n):
+            k = int(there[i].sum())
+            score = lambda p: sum(w[p[t]] @ x[i, t] for t in range(k)) + sum(moves[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            total += each[i] * (score(y[i, :k].tolist()) - np.logaddexp.reduce([score(p) for p in itertools.product((0, 1), repeat=k)]))
+        return total
+
+    value, slope = line_crf.LineCrf.gradient(theta, x, y, there, each)
+    steps = np.eye(size) * 1e-5
+    assert np.isclose(value, plain(theta)) and np.allclose(slope, [(plain(theta + h) - plain(theta - h)) / 2e-5 for h in steps], atol=1e-6)
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    sf = "/root/testdata/sf0.01"
+    return line_crf.fit_line_crf(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@pytest.mark.parametrize("block", [["Home | About | Shop | Cart | Login |", "Terms | Privacy | Help | Jobs | Press |"], ["BUY NOW!! CHEAP!! CLICK!! HERE!! TODAY!!"] * 3, ["win$$$ this*** now### click&&& here%%%"]])
+def test_a_planted_block_is_marked_and_nothing_else(fitted, block):
+    clean = [f"The {a} of the house was old and {b}, and nobody came." for a in ("roof", "door", "wall") for b in ("grey", "cold", "dark")]
+    for at in (0, 4, len(clean)):
+        text = "\n".join([*clean[:at], *block, *clean[at:]])
+        lines, words = line_crf.split_lines(text)
+        assert fitted.viterbi(line_crf.line_features(lines, words)).tolist() == [0] * at + [1] * len(block) + [0] * (len(clean) - at)
+        assert line_crf.judge(text, fitted)[7] == sum(len(x.split()) for x in clean)
+
+
+def test_kept_is_the_share_of_content(spark, fitted):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mixed = judged = 0
+    for r in line_crf.quality_rules(docs, fitted).join(docs.select("doc_id", "text"), "doc_id").collect():
+        lines, words = line_crf.split_lines(r.text or "")
+        x = line_crf.line_features(lines, words)
+        y = fitted.viterbi(x)
+        assert r.content_words == sum(len(w) for w, label in zip(filter(None, words), y) if label == 0)
+        assert r.kept == (not r.base_failed and r.content_words >= fitted.least_share * r.n_words)
+        if len(x) > 1:
+            judged, mixed = judged + 1, mixed + (0 < y.sum() < len(y))
+    assert mixed > 0.03 * judged
+
+
+def test_long_documents_enter_the_fit():
+    x, words = np.ones((10_000, 3)), np.arange(10_000)
+    some = line_crf.stretches(x, words)
+    assert len(some) == line_crf.STRETCHES and some[0][1][0] == 0 and some[-1][1][-1] == 9_999 and all(len(n) == line_crf.STRETCH for _, n in some)
+    assert [len(n) for _, n in line_crf.stretches(x[:130], words[:130])] == [60, 60, 10] and line_crf.stretches(x[:0], words[:0]) == []
+
+
+def test_repeated_rows_weigh_once_in_the_fits(spark, docs, labels):
+    twice = docs.unionByName(docs.where("doc_id < 9")).unionByName(docs.where("doc_id < 9"))
+    assert np.array_equal(line_crf.fit_line_crf(docs, labels).weights, line_crf.fit_line_crf(twice, labels).weights)
+    one, two = knn_quality.fit_voters(docs, labels), knn_quality.fit_voters(twice, labels)
+    assert np.array_equal(one.vectors, two.vectors) and np.array_equal(one.labels, two.labels)
+
+
 # -- 3: packing
 
 
