@@ -16,8 +16,12 @@ positions, are suffixes of the array:
    repeat with all its occurrences;
 5. of each repeat the smallest owner stays, in other owners its bytes go.
 
-An anchor with more than CROWD distinct contexts is not gathered in a task: its SPAN-byte
-strings are grouped each by itself, with map-side minima. That is exact as well.
+A task scans an interval of at most GROUP contexts. A larger one (an anchor at the edge of a very
+common passage) is replaced by its subintervals: strings that start within 13 bytes of the anchor
+need a longer common prefix to its right, the others one to its left, so the contexts are dealt out
+again by these longer prefixes, and so on while a subinterval is too large. When one start is left,
+the subinterval is one string with all its occurrences, and its smallest owner is all there is to
+find: a minimum, summed up before it is shuffled.
 """
 
 from __future__ import annotations
@@ -31,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sliced
 
 SPAN, K = 50, 24
 LEFT = SPAN - K
-CROWD = 5000
+GROUP = 5000
 BLOCK = 1 << 19
+#: Bytes of texts that a bucket should have.
+BUCKET = 64 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -81,7 +87,7 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             found = [anchors(x) for x in batch.column(2).to_pylist()]
             n = [len(k) for k, _ in found]
             if sum(n):
@@ -95,7 +101,7 @@ def _context_rows(joined: DataFrame) -> DataFrame:
     """Each shared anchor's context: up to LEFT bytes before it, K of it, up to LEFT after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             lists = batch.column(3)
             flat, n = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
             at, end = flat.field("at").to_numpy(zero_copy_only=False), np.cumsum(n).tolist()
@@ -162,15 +168,17 @@ def repeat_masks(before: list[bytes], after: list[bytes], owner: list[int], lcp:
     return masks
 
 
-def _mask_rows(contexts: DataFrame) -> DataFrame:
-    """Contexts dealt by anchor and sorted by suffix -> (key, seg, least, mask). A batch may end within an anchor's rows: they wait for the next."""
+def _mask_rows(contexts: DataFrame, group: str = "key") -> DataFrame:
+    """Contexts dealt by group and sorted by suffix -> (key, seg, least, mask). A batch may end within a group's rows: they wait for the next."""
+    ids = list(dict.fromkeys([group, "key", "seg", "least"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], []]
+        held: list[list] = [[] for _ in (*ids, "before", "after")]
 
-        def masks(key: list, seg: list, least: list, before: list, after: list) -> pa.RecordBatch:
+        def masks(group: list, *rest: list) -> pa.RecordBatch:
+            key, seg, least, before, after = rest if len(rest) == 5 else (group, *rest)
             lcp, out = common_prefixes(after, SPAN), np.zeros(len(key), np.int64)
-            k = np.array(key, np.int64)
+            k = np.array(group, np.int64)
             edges = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]))
             lcp[edges[:-1]] = 0
             lengths, cut = lcp.tolist(), edges.tolist()
@@ -192,44 +200,70 @@ def _mask_rows(contexts: DataFrame) -> DataFrame:
         if held[0]:
             yield masks(*held)
 
-    ordered = contexts.select("key", "seg", "least", "before", "after").repartition("key").sortWithinPartitions("key", "after", "before")
+    ordered = contexts.select(*ids, "before", "after").repartition(group).sortWithinPartitions(group, "after", "before")
     return ordered.mapInArrow(run, "key long, seg long, least long, mask long")
 
 
-def _crowd_masks(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with too many contexts for a task: each SPAN-byte string by itself."""
-    forward = F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex("before"), F.lit("(..)"), 1)), ""))
-    whole = F.concat(forward, F.col("after"))
-    skip = LEFT - F.octet_length("before")
-    starts = F.sequence(skip.cast("int"), (F.octet_length("after") - K).cast("int"))
-    strings = contexts.where(F.octet_length("before") + F.octet_length("after") >= SPAN).select("key", "seg", "least", whole.alias("whole"), skip.alias("skip"), F.explode(starts).alias("s"))
-    strings = strings.select("key", "seg", "least", "s", F.expr(f"substring(whole, int(s - skip + 1), {SPAN})").alias("string"))
-    first = strings.groupBy("key", "s", "string").agg(F.min("least").alias("first"))
-    bits = strings.join(first, ["key", "s", "string"]).groupBy("key", "seg").agg(F.min("least").alias("least"), F.bit_or(F.when(F.col("first") < F.col("least"), F.expr("shiftleft(1L, s)")).otherwise(F.lit(0))).alias("mask"))
-    return contexts.select("key", "seg", "least").join(bits.select("key", "seg", "mask"), ["key", "seg"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+def _subintervals(contexts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, seg, least, mask) of the contexts of anchors that have too many for one scan: by ever longer common prefixes.
+
+    A row of one round stands for a context and the strings around it that start at `lo` to `hi`; rows of one `g` agree in all
+    bytes that every one of these strings has.
+    """
+    columns, parts, k = ("key", "seg", "least", "before", "after"), [], 0
+    rows = contexts.select(*columns, F.lit(0).alias("lo"), F.lit(LEFT).alias("hi"))
+    while True:
+        k += 1
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi")))).alias("half")
+        rows = rows.select(*columns, halves).select(*columns, "half.lo", "half.hi").where(f"octet_length(before) >= {LEFT} - hi and octet_length(after) >= {K} + lo")
+        rows = scratch.keep(rows.withColumn("g", F.expr(f"xxhash64(key, lo, hi, substring(before, 1, {LEFT} - hi), substring(after, 1, {K} + lo))")), f"split-{k}")
+        # groups of one owner have nothing to remove
+        groups = scratch.keep(rows.groupBy("g").agg(F.count("*").alias("n"), F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").select("g", "n", "first"), f"groups-{k}")
+        parts.append(rows.where("lo = hi").join(groups, "g").where("first < least").select("key", "seg", "least", F.expr("shiftleft(1L, lo)").alias("mask")))
+        rows = rows.where("lo < hi")
+        parts.append(_mask_rows(rows.join(groups.where(F.col("n") <= GROUP), "g", "left_semi"), "g"))
+        large = groups.where(F.col("n") > GROUP)
+        rows = rows.join(large, "g", "left_semi")
+        if 2**k > LEFT or rows.isEmpty():  # all starts are single ones, or no group is too large
+            break
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    none = contexts.select("key", "seg", "least", F.lit(0).cast("long").alias("mask"))
+    return found.unionByName(none).groupBy("key", "seg").agg(F.min("least").alias("least"), F.bit_or("mask").alias("mask"))
+
+
+def removed_runs(first: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, ends) of the maximal runs of bytes covered by the strings that the bits of mask stand for, bit s at first + s."""
+    opens, closes, begins, ends = mask & ~(mask << 1), mask & ~(mask >> 1), [], []
+    for s in range(LEFT + 1):
+        begins.append(first[(opens >> s) & 1 == 1] + s)
+        ends.append(first[(closes >> s) & 1 == 1] + (s + SPAN))
+    b, e = np.sort(np.concatenate(begins)), np.sort(np.concatenate(ends))
+    # the i-th begin lies beyond the end of all stretches before it if it lies beyond the i-th end
+    apart = np.flatnonzero(b[1:] > e[:-1])
+    return b[np.concatenate((np.zeros(min(1, len(b)), int), apart + 1))], e[np.concatenate((apart, np.full(min(1, len(b)), len(b) - 1)))]
 
 
 def _cut_rows(joined: DataFrame) -> DataFrame:
     """Texts with (anchor, mask) lists -> what is removed and what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # all texts of the batch end to end; no removed string reaches beyond its own
+        for batch in sliced(batches, 2):
+            # places of all texts of the batch on one line, a byte apart: runs of two texts never touch
             lists, raws = batch.column(3), batch.column(2).to_pylist()
             flat, n = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
-            ends = np.cumsum([0, *map(len, raws)])
-            first = flat.field("at").to_numpy(zero_copy_only=False) - LEFT + np.repeat(ends[:-1], n)
-            mask = flat.field("mask").to_numpy(zero_copy_only=False)
-            change = np.zeros(ends[-1] + 1, np.int32)
-            for s in range(LEFT + 1):
-                starts = first[(mask >> s) & 1 == 1] + s
-                np.add.at(change, starts, 1)
-                np.add.at(change, starts + SPAN, -1)
-            every, rows = np.cumsum(change[:-1]) > 0, []
-            for owner, v, raw, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raws, ends[:-1], ends[1:]):
-                gone = every[a:b]
-                spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((owner, v, int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
+            base = np.cumsum([0, *(len(x) + 1 for x in raws)])
+            first = flat.field("at").to_numpy(zero_copy_only=False) - LEFT + np.repeat(base[:-1], n)
+            begins, ends = removed_runs(first, flat.field("mask").to_numpy(zero_copy_only=False))
+            cut, rows = np.searchsorted(begins, base), []
+            for i, (owner, v, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raws)):
+                b, e = ((x[cut[i] : cut[i + 1]] - base[i]).tolist() for x in (begins, ends))
+                kept = hashlib.sha256()
+                for x, y in zip([0, *e], [*b, len(raw)]):
+                    kept.update(raw[x:y])
+                rows.append((owner, v, sum(e) - sum(b), len(b), kept.hexdigest()))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["owner", "v", "n_removed", "n_spans", "kept_sha256"])
 
@@ -253,8 +287,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     owners = slim.where(f"doc_id is not null and n_bytes >= {SPAN}").groupBy("sha").agg(F.min("doc_id").alias("owner")).withColumn("v", F.hash("sha"))
     owners = scratch.keep(owners, "owners")
 
-    # Texts, once each, bucketed by owner: later joins with lists of places move the lists only.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Texts, once each, bucketed by owner: later joins with lists of places move the lists only. A bucket's lists are about as
+    # large as its texts; beyond what a task should hold in a hash table, both are sorted instead, which can spill.
+    size = slim.agg(F.sum("n_bytes")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))))
+    join = "shuffle_hash" if size <= 2 * BUCKET * parts else "merge"
     table = f"knotgauge_texts_{uuid.uuid4().hex}"
     first = rows.join(owners.withColumnRenamed("sha", "_sha"), (F.col("doc_id") == F.col("owner")) & (F.col("sha") == F.col("_sha"))).select("owner", "v", "text")
     with scratch.cleaning():
@@ -267,7 +304,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     scratch.drop("keys")
 
     def with_texts(places: DataFrame) -> DataFrame:
-        lists = places.groupBy("owner", "v").agg(F.collect_list(F.struct(*[c for c in places.columns if c not in ("owner", "v")])).alias("hits")).hint("shuffle_hash")
+        lists = places.groupBy("owner", "v").agg(F.collect_list(F.struct(*[c for c in places.columns if c not in ("owner", "v")])).alias("hits")).hint(join)
         return texts.join(lists, ["owner", "v"]).select("owner", "v", F.col("text").cast("binary").alias("raw"), "hits")
 
     def contexts() -> DataFrame:
@@ -275,9 +312,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return _context_rows(with_texts(hits)).withColumn("seg", F.xxhash64("before", "after"))
 
     distinct = scratch.keep(contexts().groupBy("key", "seg", "before", "after").agg(F.min("owner").alias("least")), "distinct")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    crowds = scratch.keep(distinct.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowds")
-    masks = _mask_rows(distinct.join(crowds, "key", "left_anti")).unionByName(_crowd_masks(distinct.join(crowds, "key", "left_semi")))
+    large = scratch.keep(distinct.groupBy("key").count().where(F.col("count") > GROUP).select("key"), "large")
+    masks = _mask_rows(distinct.join(large, "key", "left_anti")).unionByName(_subintervals(distinct.join(large, "key", "left_semi"), scratch))
     masks = scratch.keep(masks, "masks")
     scratch.drop("distinct")
 
@@ -288,8 +324,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     scratch.drop("hits")
     scratch.drop("masks")
     cut = scratch.keep(_cut_rows(with_texts(cuts)).join(owners, ["owner", "v"]).select("sha", "owner", "n_removed", "n_spans", "kept_sha256"), "cut")
+    spark.sql(f"DROP TABLE {table}")
+    scratch.drop("texts")
 
-    known = owners.select("sha", "owner").join(cut.drop("owner"), "sha", "left").withColumnRenamed("sha", "_sha")
+    known = scratch.keep(owners.select("sha", "owner").join(cut.drop("owner"), "sha", "left").withColumnRenamed("sha", "_sha"), "known")
     copy = F.col("doc_id") > F.col("owner")
     untouched = F.col("doc_id").isNull() | F.col("n_removed").isNull()
     empty = hashlib.sha256(b"").hexdigest()
