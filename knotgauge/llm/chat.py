@@ -11,10 +11,11 @@ one conversation, and rendered turns are returned row by row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -108,14 +109,19 @@ def _runs(keys: list) -> Iterator[tuple[int, int]]:
             a = b
 
 
-def render(action: str, before: tuple[int, ...], role: int, text: str, after: tuple[int, ...]) -> str:
-    """A row's part of the conversation; parts joined in order are the rendered conversation."""
-    empty = "".join(f"<|{ROLES[r]}|>\n\n" for r in before)
-    own = f"{text}\n" if action.endswith("merge") else f"<|{ROLES[role]}|>\n{text}\n"
-    return empty + own + "".join(f"<|{ROLES[r]}|>\n\n" for r in after)
+def frame(action: str, before: tuple[int, ...], role: int, after: tuple[int, ...]) -> tuple[str, str]:
+    """What stands before and after a row's text in the rendered conversation."""
+    empty = lambda roles: "".join(f"<|{ROLES[r]}|>\n\n" for r in roles)
+    return empty(before) + ("" if action.endswith("merge") else f"<|{ROLES[role]}|>\n"), "\n" + empty(after)
 
 
-REPAIRED = "conv_id long, turn long, role string, at long, action string, new_role string, empty_before int, empty_after int, cost int, rendered string"
+def escaped(text: Column) -> Column:
+    """No text can look like the start of a turn: < and | get a backslash between them, one more where there are some. unescape() takes it away."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescape(rendered: str) -> str:
+    return re.sub(r"<\\(\\*)\|", r"<\1|", rendered)
 
 
 def repair_roles(turns: DataFrame) -> DataFrame:
@@ -124,6 +130,8 @@ def repair_roles(turns: DataFrame) -> DataFrame:
     Turns are ordered by turn (null first), role, text; equal rows in any order. Null text counts as
     empty, a null or unknown role must be relabelled, rows of a null conv_id form one conversation.
     Empty table: no rows. `cost` is the row's own; a last row's includes empty turns after it.
+    Rendered parts joined in order are the rendered conversation. Whole texts, however long, stay in
+    Spark's own rows: Python sees roles only.
     """
     scratch = Scratch(turns.sparkSession, "chat")
     slim = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -188,16 +196,17 @@ def repair_roles(turns: DataFrame) -> DataFrame:
 
     def act(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("at")
-        convs, roles, out = rows["_conv"].tolist(), [role_of(r) for r in rows["role"]], []
-        enters, leaves, last, texts = (rows[c].tolist() for c in ("enters", "leaves", "is_last", "text"))
+        convs, roles, at, out = rows["_conv"].tolist(), [role_of(r) for r in rows["role"]], rows["at"].tolist(), []
+        enters, leaves, last = (rows[c].tolist() for c in ("enters", "leaves", "is_last"))
         for a, b in _runs(convs):
             states = [int(enters[a]), *trace([COSTS[r] for r in roles[a:b]], int(enters[a]), int(leaves[a]))]
             for i in range(a, b):
                 cost, action, before = STEPS[roles[i]][states[i - a]][states[i - a + 1]]
                 after = ENDING[states[-1]] if i == b - 1 and last[a] else ()
-                out.append((action, ROLES[states[i - a + 1]], len(before), len(after), cost + INSERT * len(after), render(action, before, states[i - a + 1], texts[i], after)))
-        rows = rows[["conv_id", "turn", "role", "at"]].reset_index(drop=True)
-        return pd.concat([rows, pd.DataFrame(out, columns=["action", "new_role", "empty_before", "empty_after", "cost", "rendered"])], axis=1).astype({"conv_id": "Int64", "turn": "Int64"})
+                out.append((at[i], action, ROLES[states[i - a + 1]], len(before), len(after), cost + INSERT * len(after), *frame(action, before, states[i - a + 1], after)))
+        return pd.DataFrame(out, columns=["at", "action", "new_role", "empty_before", "empty_after", "cost", "lead", "tail"])
 
-    joined = ordered.withColumn("_conv", conv).join(solved.withColumnRenamed("pos", "_block"), ["_conv", "_block"])
-    return joined.groupBy("_block").applyInPandas(act, REPAIRED)
+    roles = ordered.select(conv.alias("_conv"), "role", "at", "_block").join(solved.withColumnRenamed("pos", "_block"), ["_conv", "_block"])
+    acts = roles.groupBy("_block").applyInPandas(act, "at long, action string, new_role string, empty_before int, empty_after int, cost int, lead string, tail string")
+    rendered = F.concat("lead", escaped(F.col("text")), "tail")
+    return ordered.join(acts, "at").select("conv_id", "turn", "role", "at", "action", "new_role", "empty_before", "empty_after", "cost", rendered.alias("rendered"))
