@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, sliced, whole_rows
 
 #: Fixed value of the contract: the seed of XXH64.
 SEED = 42
@@ -31,30 +31,39 @@ RADIUS = 2
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 
 
-def fingerprint(text: str, width: int = 4) -> int:
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 of the text's shingles, repeats included; a text of fewer words is one shingle, without words none."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     stops = (ends[len(words) - n :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint: the bits set in over half the hashes."""
+    n, ones = len(h), np.zeros(64, np.int64)
     for i in range(0, n, 8192):  # a very long text never has more than so many hashes as bits at once
         ones += np.unpackbits(h[i : i + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, width: int = 4) -> int:
+    return majority(shingle_hashes(text, width))
+
+
 def with_fingerprint(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, text_hash (of the null-as-empty text) and the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             h = np.array([fingerprint(x, width) for x in batch.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h)], names=["doc_id", "text_hash", "fp"])
 
@@ -138,8 +147,10 @@ def group_near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     roots = components(links, scratch)
     nodes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     nodes = scratch.keep(nodes, "nodes")
-    smallest = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(nodes.join(smallest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    # kept by itself, so that the join meets two plain shuffles: Spark can then split a hot root (and below, a hot fingerprint)
+    smallest = scratch.keep(nodes.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    nodes = scratch.keep(nodes.join(smallest, "root").select("fp", "root", "component_id"), "named")
+    return prints.join(nodes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -151,9 +162,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
 
 
 def leave_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Of each root of found (doc_id, text_hash, root), the document with the smallest doc_id."""
+    """Of each root of found (doc_id, text_hash, root), the document with the smallest doc_id; columns of docs as they are, whatever their names."""
     keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_hash").alias("c"))).alias("k"))
     key = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), h.cast("string"))
-    keep = keep.select(key(F.col("k.b"), F.col("k.c")).alias("_kept"))
-    keyed = docs.withColumn("_kept", key(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
-    return keyed.join(keep, "_kept", "left_semi").dropDuplicates(["_kept"]).select(*docs.columns)
+    keep = keep.select(key(F.col("k.b"), F.col("k.c")).alias("key"))
+    keyed = docs.select(whole_rows(docs).alias("row")).withColumn("key", key(F.col("row")["doc_id"].cast("long"), F.xxhash64(F.coalesce(F.col("row")["text"], F.lit("")))))
+    return keyed.join(keep, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
