@@ -1,11 +1,19 @@
-"""Near copies by the Jaccard similarity of word shingles, with connected components.
-
-Texts with equal shingle sets are one node. A node has 128 min-hashes in 32 bands of four: two
-nodes of similarity s share a band with probability 1 - (1 - s^4)^32, so a pair of 0.8 is missed
-once in 20 million. The nodes of a shared band are compared exactly, on whole sets, by one
-worker: each in turn with all that are in other components so far, so near copies that link up
-early cost little, and the links written grow with the nodes. Bands with the same nodes are
-compared once.
+"""SimHash near-dedup with a check of the similarity: Jaccard of word shingles, connected components.
+
+Texts with equal shingle sets are one node. Nodes become candidates by meet-in-the-middle ball
+hashing of their fingerprints (simhash.py: a shared value in balls of radius 2). But fingerprints
+of two texts of similarity 0.8 differ in some ten of 64 bits, and a ball of radius 5 has eight
+million values. So nodes also become candidates by 32 bands of four min-hashes: two nodes of
+similarity s share one with probability 1 - (1 - s^4)^32; a pair of 0.8 is missed once in 20
+million. Candidates of either kind are compared exactly, on whole sets.
+
+A group of candidates is compared by one worker: each node with all that are in other components
+so far, so near copies that link up early cost little, and the links written grow with the nodes.
+Groups with the same nodes are compared once. A group of over GROUP nodes or GROUP_BYTES is dealt
+out: all its nodes are compared with one of them, the pivot; those like it are one component, and
+only the others are then compared with all, block by block. That is exact too; it costs one
+comparison a node where the group is one crowd of near copies, and blocks times blocks where it
+is not.
 """
 
 from __future__ import annotations
@@ -17,29 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
-from .simhash import SEED, components, leave_one
+from .common import Scratch, sliced
+from .simhash import SEED, ball_links, candidates, components, leave_one, majority, shingle_hashes
 
 WIDTH, LEAST = 5, 0.8
 BANDS, PER_BAND = 32, 4
+#: Nodes, and bytes of their sets, that one worker compares.
+GROUP, GROUP_BYTES = 1000, 32 << 20
 _random = np.random.default_rng(SEED)
 TIMES, PLUS = (_random.integers(0, 1 << 64, (BANDS * PER_BAND, 1), np.uint64) | np.uint64(x) for x in (1, 0))
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct hashes of the text's shingles; a text of fewer words is one shingle, without words none."""
-    import xxhash
-
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = max(1, len(words) - width + 1)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[: n - 1])).tolist()
-    stops = (ends[len(words) - n :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n))
+    """The sorted distinct hashes of the text's shingles."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -56,20 +55,22 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def with_shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text_hash (of the null-as-empty text), node (a hash of the shingle set), its bands and the set's bytes."""
+    """doc_id, text_hash (of the null-as-empty text), node (a hash of the shingle set), its bands, the set's bytes and the fingerprint."""
     import xxhash
 
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(x, width) for x in batch.column(2).to_pylist()]
+        for batch in sliced(batches, 2):
+            every = [shingle_hashes(x, width) for x in batch.column(2).to_pylist()]
+            fp = np.array([majority(h) for h in every], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in every]
             raw = [s.tobytes() for s in sets]
             node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([bands(s) for s in sets], schema.field(3).type), pa.array(raw, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([bands(s) for s in sets], schema.field(3).type), pa.array(raw, pa.binary()), pa.array(fp)], schema=schema)
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, node long, bands array<long>, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, node long, bands array<long>, shingles binary, fp long")
 
 
 def linked(nodes: list[int], raw: list[bytes], least: float = LEAST) -> list[tuple[int, int]]:
@@ -95,17 +96,8 @@ def linked(nodes: list[int], raw: list[bytes], least: float = LEAST) -> list[tup
     return out
 
 
-def similar_links(prints: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFrame:
-    """Links (fp, other) between nodes that share a band and have a similarity of `least`."""
-    distinct = prints.groupBy("node").agg(F.first("bands").alias("bands"))
-    spread = scratch.keep(distinct.select("node", F.explode("bands").alias("band")), "bands")
-    shared = spread.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("a"), F.min("node").alias("b"), F.max("node").alias("c")).where("n > 1")
-    once = shared.groupBy("n", "a", "b", "c").agg(F.min("band").alias("band")).select("band")
-    members = scratch.keep(spread.join(once, "band"), "members")
-    needed = prints.join(members.select("node").distinct(), "node", "left_semi")
-    sets = scratch.keep(needed.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    rows = members.join(sets, "node").select("band", "node", "shingles")
-    rows = rows.repartition("band").sortWithinPartitions("band", "node")
+def _grouped(rows: DataFrame, group: list[str], least: float) -> DataFrame:
+    """Links (fp, other) within the groups of rows (group columns, node, shingles); a group's rows must fit a worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -113,22 +105,72 @@ def similar_links(prints: DataFrame, scratch: Scratch, least: float = LEAST) ->
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["fp", "other"])
 
         at, nodes, raw = None, [], []
-        for batch in batches:
-            for band, node, x in zip(*(c.to_pylist() for c in batch.columns)):
-                if band != at and nodes:
+        for batch in sliced(batches, 2):
+            for key, node, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at and nodes:
                     yield flush()
                     nodes, raw = [], []
-                at = band
-                nodes.append(node)
-                raw.append(x)
+                at = key
+                if not nodes or nodes[-1] != node:  # a node may come twice, as one of all and as one of the others
+                    nodes.append(node)
+                    raw.append(x)
         if nodes:
             yield flush()
 
-    return rows.mapInArrow(run, "fp long, other long").distinct()
+    rows = rows.repartition(*group).select(F.struct(*group).alias("key"), "node", "shingles").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(run, "fp long, other long")
+
+
+def _like_pivot(rows: DataFrame, least: float) -> DataFrame:
+    """rows (band, node, shingles, pivot, pivot_shingles) -> band, node, pivot, alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(alike, pa.bool_())], names=["band", "node", "pivot", "alike"])
+
+    return rows.select("band", "node", "shingles", "pivot", "pivot_shingles").mapInArrow(run, "band long, node long, pivot long, alike boolean")
+
+
+def similar_links(prints: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFrame:
+    """Links (fp, other) between nodes that share a band or a ball and have a similarity of `least`."""
+    distinct = scratch.keep(prints.groupBy("node").agg(F.first("bands").alias("bands"), F.min("fp").alias("fp"), F.max(F.octet_length("shingles")).cast("long").alias("bytes")), "distinct")
+    met = scratch.keep(ball_links(scratch.keep(candidates(distinct.select("fp").distinct()), "candidates")), "balls")
+    ball = met.select("fp", F.xxhash64(F.lit("ball"), "other").alias("band")).unionByName(met.select(F.col("other").alias("fp"), F.xxhash64(F.lit("ball"), "other").alias("band")).distinct())
+    spread = distinct.where("bytes > 0").select("node", "bytes", F.explode(F.concat("bands", F.array(F.xxhash64(F.lit("equal"), "fp")))).alias("band"))
+    spread = spread.unionByName(distinct.where("bytes > 0").join(ball, "fp").select("node", "bytes", "band"))
+    spread = scratch.keep(spread, "bands")
+    shared = spread.groupBy("band").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("a"), F.min("node").alias("b"), F.max("node").alias("c")).where("n > 1")
+    once = scratch.keep(shared.groupBy("n", "bytes", "a", "b", "c").agg(F.min("band").alias("band")).select("band", "n", F.col("bytes").alias("total"), F.col("b").alias("pivot")), "once")
+    members = scratch.keep(spread.drop("bytes").join(once, "band"), "members")
+    needed = prints.join(members.select("node").distinct(), "node", "left_semi")
+    sets = scratch.keep(needed.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    fits = (F.col("n") <= GROUP) & (F.col("total") <= GROUP_BYTES)
+    links = _grouped(members.where(fits).select("band", "node").join(sets, "node"), ["band"], least)
+    if once.where(~fits).isEmpty():
+        return links.distinct()
+
+    large = members.where(~fits)
+    pivots = sets.withColumnsRenamed({"node": "pivot", "shingles": "pivot_shingles"})
+    compared = scratch.keep(_like_pivot(large.select("band", "node", "pivot").join(sets, "node").join(pivots, "pivot"), least), "pivots")
+    links = links.unionByName(compared.where("alike and node <> pivot").select(F.col("node").alias("fp"), F.col("pivot").alias("other")))
+    # the others with all, in blocks: (block of all, block of the others) is a group
+    others = compared.where("not alike").select("band", "node")
+    sizes = others.groupBy("band").agg(F.count("*").alias("odd")).join(once, "band")
+    blocks = lambda n: F.greatest(F.ceil(n / F.lit(GROUP)), F.ceil(F.col("total") * n / F.col("n") / F.lit(GROUP_BYTES))).cast("int")
+    sizes = scratch.keep(sizes.select("band", blocks(F.col("n")).alias("ka"), blocks(F.col("odd")).alias("kb")), "blocks")
+    place = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    every = large.select("band", "node").join(sizes, "band").select("band", "node", place("ka").alias("i"), F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("j"))
+    odd = others.join(sizes, "band").select("band", "node", F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("i"), place("kb").alias("j"))
+    return links.unionByName(_grouped(every.unionByName(odd).join(sets, "node"), ["band", "i", "j"], least)).distinct()
 
 
 def drop_similar(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """The documents without near copies: of each component of pairs with a similarity of `least`, the one with the smallest doc_id stays (null last; then the smallest text hash).
+    """SimHash near-dedup by similarity: of each component of pairs with a similarity of `least`, the one with the smallest doc_id stays (null last; then the smallest text hash).
 
     Text: ASCII lower case, words, `width`-word shingles; texts without words (null or empty ones
     too) are copies of each other. Columns as in docs; repeated rows leave one.
