@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 
 #: Fixed values of the contract: kinds in their order. "secret" is found by the CRF alone.
 BASE = ("email", "ip", "card", "phone")
@@ -119,13 +121,14 @@ def settle(u: np.ndarray, edges: list[tuple[int, int, float]], chains: int, most
 def skip_chain_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """The spans that the CRF adds to the patterns' spans."""
     nodes, places, unary, keys = [], [], [], []
-    before, k, at = ("", ""), 0, 0
+    before, at, reach = ("", ""), 0, []  # reach: spans that begin before the word's end and reach into it
     for k, m in enumerate(_word(text)):
         word = m.group()
         if _hint(word):
-            while at < len(base) and base[at][2] <= m.start():
+            while at < len(base) and base[at][1] < m.end():
+                reach.append(base[at])
                 at += 1
-            inside = [x for x in base[at : at + 8] if x[1] < m.end() and x[2] > m.start()]
+            reach = inside = [x for x in reach if x[2] > m.start()]
             score = [NOTHING if not inside else 0.0] + [0.0] * len(KINDS) if inside else _unary(word, before)
             for kind, _, _ in inside:
                 score[1 + KINDS.index(kind)] = IN_SPAN
@@ -203,7 +206,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 base, every = all_spans(text)
@@ -215,7 +218,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact_personal_data(docs: DataFrame) -> DataFrame:
-    """The documents with their spans redacted; n_chars, where there, follows the new text. Null text stays null."""
+    """The documents with their spans redacted; n_chars, where there, follows the new text.
+
+    Null text stays null, empty text empty; null ids and repeated rows are redacted like any other.
+    Other columns keep names and values. Empty table: no rows.
+    """
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(redact, na_action="ignore")
