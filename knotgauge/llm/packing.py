@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, sliced
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
-#: About so many pieces are ranked by one task; a very common length is dealt out over as many as it takes.
-RANK_ROWS = 250_000
+#: Pieces of one length are ranked in groups: of RANK_LEAST pieces while there are few, RANK_GROUPS groups then, and as many as
+#: it takes for RANK_ROWS pieces a group where a length is very common. So neither a group nor their number a length is large.
+RANK_LEAST, RANK_GROUPS, RANK_ROWS = 256, 64, 250_000
 #: Lengths under which pieces are kept out of the exact phase, in 64ths of the capacity.
 RESERVES = (0, 2, 4, 6, 8, 10, 12, 14, 16, 20, 24)
 
@@ -62,7 +63,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, ranks
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = id_encoder(tokenizer_path, ranks_path)
         end = b"\0\0\0\0"
-        for batch in batches:
+        for batch in sliced(batches, 1):
             out = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(ids) + end
@@ -200,13 +201,17 @@ def slot_tables(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[
     return {n: tuple(np.array(c, np.int64) for c in zip(*rows)) for n, rows in slots.items()}
 
 
+def rank_groups(n: int) -> int:
+    return max(min(RANK_GROUPS, -(-n // RANK_LEAST)), -(-n // RANK_ROWS))
+
+
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, ranks_path: str | None = None) -> DataFrame:
     """Packs every document into sequences of at most `capacity` tokens; one row per piece.
 
     Null text counts as empty (one id 0); null ids and repeated rows are packed like any other;
     no documents, no rows. Sequences are gapless from offset 0; those of one piece of full length
     have negative ids. Collected to the driver: counts by length, and by length and rank group,
-    which are one for RANK_ROWS pieces and one more for each length.
+    which are at most RANK_GROUPS for each length and one more for RANK_ROWS pieces.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
@@ -215,11 +220,11 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, ra
     full, short = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
     total = {r["length"]: r["count"] for r in short.groupBy("length").count().collect()}
     tables = slot_tables(plan_patterns(total, capacity), capacity)
-    share = F.element_at(F.map_from_arrays(*(F.array(*map(F.lit, x)) for x in ([0, *total], [1, *(-(-n // RANK_ROWS) for n in total.values())]))), F.col("length").cast("int"))
+    share = F.element_at(F.map_from_arrays(*(F.array(*map(F.lit, x)) for x in ([0, *total], [1, *map(rank_groups, total.values())]))), F.col("length").cast("int"))
     short = short.withColumn("_group", F.floor(F.col("_salt") * share).cast("int"))
     before: dict[int, np.ndarray] = {}
     for length, g, n in sorted(tuple(r) for r in short.groupBy("length", "_group").count().collect()):
-        starts = before.setdefault(length, np.zeros(-(-total[length] // RANK_ROWS) + 1, np.int64))
+        starts = before.setdefault(length, np.zeros(rank_groups(total[length]) + 1, np.int64))
         starts[g + 1] = n
     before = {length: np.cumsum(starts) for length, starts in before.items()}
 
