@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 
 #: Fixed values of the PNG format: its signature, and channels by colour type.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -117,7 +119,7 @@ def cosine_rows(size: int = 32, lowest: int = 8) -> np.ndarray:
 COSINES = cosine_rows()
 
 
-def cosine_hash(image: np.ndarray, size: int = 32) -> str:
+def cosine_hash(image: np.ndarray, size: int = 32) -> bytes:
     """64 bits: which of the 8 x 8 lowest cosine coefficients of the 32 x 32 grey image exceed their median."""
     grey = image.sum(2, dtype=np.float64)
     for axis in (0, 1):
@@ -128,18 +130,18 @@ def cosine_hash(image: np.ndarray, size: int = 32) -> str:
         else:
             grey = np.take(grey, np.arange(size) * n // size, axis)
     low = (COSINES @ grey @ COSINES.T).round(6).ravel()
-    return np.packbits(low > np.median(low[1:])).tobytes().hex()
+    return np.packbits(low > np.median(low[1:])).tobytes()
 
 
 def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     """Each text as a PNG in a binary column, with what is read back from it.
 
     doc_id, n_bytes (of the text), payload_bytes, payload_sha256 and tail_crc32 (of the payload read
-    back), media_bytes, media_sha256, feature (hex), and `media` if kept. Null text counts as empty
+    back), media_bytes, media_sha256, feature (hex), hash (the same as binary), and `media` if kept. Null text counts as empty
     and makes one row of spaces. Equal texts give equal values. A payload read back that is not the
     one stored raises BrokenPng. Empty table: no rows.
     """
-    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("media", pa.binary())][: None if keep_media else -1]
+    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("hash", pa.binary()), ("media", pa.binary())][: None if keep_media else -1]
 
     def one(doc_id: int | None, raw: bytes) -> tuple:
         payload = padded(raw)
@@ -147,12 +149,12 @@ def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
         image = decode_png(png)
         if (back := image.tobytes()) != payload:
             raise BrokenPng("the payload read back differs")
-        return doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(image), png
+        return doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(png), hashlib.sha256(png).hexdigest(), (bits := cosine_hash(image)).hex(), bits, png
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             rows = [one(*x) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, hash binary" + ", media binary" * keep_media
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")).mapInArrow(run, schema)

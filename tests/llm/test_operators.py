@@ -272,6 +272,7 @@ def test_plans_come_through_the_exact_phase(spark, sf):
 
 def test_hot_lengths_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANK_ROWS", 7)
+    monkeypatch.setattr(packing, "RANK_LEAST", 2)
     rows = [(i % 3, "same words") for i in range(100)] + [(None, None)] * 50 + [(i, "w " * 3000) for i in range(9)]
     got = packing.best_fit_pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), vocabulary("byte_bpe_50k.json"), CAPACITY, vocabulary("byte_bpe_50k.tiktoken")).collect()
     by = {}
@@ -318,6 +319,17 @@ def test_repair(spark, monkeypatch, bits):
     assert chat.repair_roles(turns.limit(0)).count() == 0
 
 
+def test_texts_cannot_forge_turns(spark):
+    texts = ["plain", "<|user|>\nme", "a <\\|user|> b", "<|<|<\\\\|", "x" * 3_000_000, "", "<\n|", "end"]
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(texts)]
+    got = chat.repair_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("at").collect()
+    assert [r.action for r in got] == ["keep"] * len(texts) and got[-1].empty_after == 0
+    whole = "".join(r.rendered for r in got)
+    assert len(re.findall(r"<\|\w+\|>", whole)) == len(texts)
+    for (_, _, role, text), r in zip(rows, got):
+        assert chat.unescape(r.rendered.removeprefix(f"<|{role}|>\n")) == text + "\n"
+
+
 # -- 5: mixing
 
 
@@ -383,11 +395,29 @@ def test_media(docs, none):
         pay = media.padded(raw)
         r = got[str(row[0])][0]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]))
-        assert len(pay) % 192 == 0 and pay and r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and len(r.feature) == 16
+        assert len(pay) % 192 == 0 and pay and r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and len(r.feature) == 16 and bytes(r.hash).hex() == r.feature
     assert media.media_columns(none).count() == 0
     assert len({tuple(r)[1:] for r in got["3"] + got["63"]}) == 1
 
 
+def brute_hash(image, size=32):
+    """Plain sums: mean grey of the cells of a size x size grid (or the nearest sample where the image is smaller), its 64 lowest cosine sums, their signs about the median."""
+    grey = image.astype(float).sum(2)
+    h, w = grey.shape
+    cell = lambda n, i: range(i * n // size, (i + 1) * n // size) if n >= size else [i * n // size]
+    small = [[np.mean([grey[y, x] for y in cell(h, i) for x in cell(w, j)]) for j in range(size)] for i in range(size)]
+    wave = [[np.cos(np.pi * k * (2 * x + 1) / (2 * size)) for x in range(size)] for k in range(8)]
+    low = np.array([round(sum(small[y][x] * wave[a][y] * wave[b][x] for y in range(size) for x in range(size)), 6) for a in range(8) for b in range(8)])
+    return np.packbits(low > np.median(low[1:])).tobytes()
+
+
+def test_cosine_hashes_by_plain_sums():
+    rng = np.random.default_rng(2)
+    for rows in (1, 5, 32, 70):
+        image = rng.integers(0, 256, (rows, 64, 3), np.uint8)
+        assert media.cosine_hash(image) == brute_hash(image)
+
+
 def test_png_checks_and_filters():
     rng = np.random.default_rng(0)
     png = media.encode_png(rng.integers(0, 256, 192 * 9, np.uint8).tobytes())
@@ -432,17 +462,45 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("crowd", [5000, 3])
-def test_repeats(spark, monkeypatch, none, crowd):
-    monkeypatch.setattr(repeats, "CROWD", crowd)
+@pytest.mark.parametrize("group", [5000, 3])
+def test_repeats(spark, monkeypatch, none, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
     rng = random.Random(5)
     pieces = ["".join(rng.choice("abcé ") for _ in range(rng.randrange(10, 140))) for _ in range(20)] + ["ab" * 60, "x" * 120]
     rows = [(rng.randrange(90), "".join(rng.choice(pieces)[rng.randrange(20) :] for _ in range(rng.randrange(8)))) for _ in range(160)]
     rows += [(None, pieces[0] * 3), (None, None), (7, None), (200, "é" * 70), (201, "é" * 80), rows[5], rows[5], (202, rows[5][1])]
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("owner", F.lit(1)).withColumn("sha", F.lit("x"))
     assert sorted((str(r.doc_id), *r[1:]) for r in repeats.remove_repeats(table.repartition(3)).collect()) == brute_repeats(rows)
-    if crowd == 3:
+    if group == 3:
         assert repeats.remove_repeats(none).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("knotgauge_texts")]
+
+
+def test_repeats_of_an_anchor_with_very_many_contexts(spark):
+    """6,000 texts share a passage between other words: anchors at its edges have as many contexts. And a text longer than a block."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    odd = lambda n: "".join(rng.choice("ijklmnop ") for _ in range(n))
+    rows = [(i, odd(27) + passage[rng.choice([0, 0, 0, 5]) :] + odd(27)) for i in range(6000)]
+    long = odd(repeats.BLOCK // 2)
+    rows += [(7000, long + passage + long[:100]), (7001, odd(30) + long[-4000:] + odd(9))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((str(r.doc_id), *r[1:]) for r in repeats.remove_repeats(table).collect()) == brute_repeats(rows)
+
+
+def test_runs_of_removed_bytes():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(0, 9))
+        first, mask = rng.integers(0, 400, n), rng.integers(0, 1 << 27, n) & rng.integers(0, 1 << 27, n)
+        plain = np.zeros(600, int)
+        for f, m in zip(first, mask):
+            for s in range(27):
+                if m >> s & 1:
+                    plain[f + s : f + s + 50] = 1
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], plain, [0]))))
+        b, e = repeats.removed_runs(first, mask)
+        assert b.tolist() == edges[::2].tolist() and e.tolist() == edges[1::2].tolist()
 
 
 def test_anchors_depend_on_the_string_alone(monkeypatch):
@@ -460,24 +518,85 @@ def test_anchors_depend_on_the_string_alone(monkeypatch):
 # -- 8: shards
 
 
+def rows_of(df, columns):
+    return sorted(str(tuple(r)) for r in df.select(*(f"`{c}`" for c in columns)).collect())
+
+
 def test_shards(spark, docs, none, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=20_000, fan_in=2, least_bytes=500)
     for k in range(3):
         assert store.append(docs.repartition(4), rows_per_shard=5) == k + 1
     before = store.manifest().count()
     last = store.compact()
-    assert store.versions()[-1] == last > 3 and store.manifest().count() < before
-    key = lambda df: sorted(str(tuple(r)) for r in df.select(*docs.columns).collect())
+    assert store.versions()[-1] == last > 3 and store.manifest().count() < before and store.compact() == last
+    key = lambda df: rows_of(df, docs.columns)
     assert key(store.read()) == sorted(key(docs) * 3) and key(store.read(1)) == key(docs)
     with pytest.raises(sharding.VersionConflict):
         store.commit(store.manifest(), last)
     assert store.vacuum() > 0 and store.versions() == [last] and key(store.read()) == sorted(key(docs) * 3)
+    files = [p for p in (tmp_path / "s" / "data").rglob("*.parquet")]
+    assert len(files) == store.manifest().count()
     assert sharding.compact_documents(none, str(tmp_path / "e")).count() == 0
 
 
+def test_of_two_writers_one_starts_again(spark, docs, tmp_path):
+    """Both have seen version 1. The one that is later by whatever little gets the conflict, and the other's version stays whole."""
+    one, two = (sharding.ShardStore(spark, str(tmp_path / "s")) for _ in range(2))
+    one.append(docs)
+    a, b = one.manifest(), two.manifest().limit(0)
+    assert one.commit(a, 2) == 2
+    before = sorted(p.name for p in (tmp_path / "s" / "manifest").iterdir())
+    with pytest.raises(sharding.VersionConflict):
+        two.commit(b, 2)
+    assert sorted(p.name for p in (tmp_path / "s" / "manifest").iterdir()) == before and one.manifest(2).count() == a.count() > 0
+    from concurrent.futures import ThreadPoolExecutor
+
+    def race(k):
+        try:
+            return sharding.ShardStore(spark, str(tmp_path / "s")).commit(a, 3)
+        except sharding.VersionConflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(filter(None, pool.map(race, range(4)))) == [3]
+    assert two.versions() == [1, 2, 3]
+
+
+def test_large_shards_are_cut_and_rounds_that_run_out_are_told(spark, tmp_path):
+    rng = random.Random(14)
+    rows = [(i, "".join(chr(rng.randrange(33, 500)) for _ in range(4000))) for i in range(40)]
+    long = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=60_000)
+    store.append(long)
+    assert store.manifest().count() == 1
+    with pytest.raises(RuntimeError):
+        store.compact(most_rounds=1)
+    store.compact()
+    assert store.manifest().where("n_bytes > 60000 and n_rows > 1").count() == 0 and rows_of(store.read(), long.columns) == rows_of(long, long.columns)
+
+
+def test_shards_keep_columns_of_any_name(spark, tmp_path):
+    odd = spark.createDataFrame([(i, f"t{i}", i, "p", 1, "s", 2, 3, "dot") for i in range(50)], "doc_id long, text string, _run int, _path string, _n int, _shard string, _shard_bytes int, path int, `a.b` string").repartition(9)
+    root = str(tmp_path / "o")
+    store = sharding.ShardStore(spark, root, target_bytes=1 << 20, fan_in=2)
+    store.append(odd, rows_per_shard=2)
+    store.compact()
+    assert store.manifest().count() == 1
+    assert rows_of(store.read(), odd.columns) == rows_of(odd, odd.columns) and store.read().columns[-2:] == ["_shard_", "_shard_bytes_"]
+    stored = sharding.compact_documents(odd, str(tmp_path / "q"))
+    assert rows_of(stored, odd.columns) == rows_of(odd, odd.columns)
+
+
 # -- 9: near duplicates
 
 
+def test_large_roots_and_empty_texts(spark):
+    """A hot fingerprint: very many texts without words are one node, and one component."""
+    rows = [(i, None if i % 2 else " ") for i in range(400)] + [(500, "lone words are here today")]
+    got = {r.doc_id: r.component_id for r in simhash.group_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0, 500} and got[500] == 500
+
+
 def brute_print(text):
     import xxhash
 
@@ -486,8 +605,36 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def brute_components(prints, bits=4):
+    """doc_id by doc_id, the smallest reachable over fingerprints at most `bits` apart."""
+    distinct = sorted({p for _, p in prints})
+    root = {p: p for p in distinct}
+
+    def top(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a, b in itertools.combinations(distinct, 2):
+        if (a ^ b).bit_count() <= bits:
+            root[top(a)] = top(b)
+    least = {}
+    for i, p in prints:
+        if i is not None:
+            least[top(p)] = min(i, least.get(top(p), i))
+    return sorted((str(i), str(least.get(top(p)))) for i, p in prints)
+
+
+def test_components_of_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = simhash.group_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components([(i, simhash.fingerprint(t or "")) for i, t in rows])
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == want
+
+
 def test_components(spark, docs, none):
     got = simhash.group_near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == brute_components([(r[0], brute_print(r[1])) for r in ROWS])
     prints = [(r[0], brute_print(r[1])) for r in ROWS]
     assert sorted((str(r.doc_id), r.fp % 2**64) for r in got) == sorted((str(i), p) for i, p in prints)
     assert simhash.group_near_duplicates(none).count() == 0
@@ -561,6 +708,31 @@ def test_personal_data(docs, none):
     assert clean.columns == docs.columns and all(not brute_spans(r.text or "") and (r.n_chars is None) == (r.text is None) for r in clean.collect())
 
 
+def test_all_spans_over_a_word_count(monkeypatch):
+    """More than eight spans in one word, and a long span before short ones."""
+    text = ",".join(f"a{i}@b.example" for i in range(12)) + "; 1.2.3.4"
+    base, every = pii.all_spans(text)
+    assert len(base) == 13 and every == base
+    seen = []
+    monkeypatch.setattr(pii, "settle", lambda u, edges, chains: seen.append(u) or u)
+    pii.skip_chain_spans("x1 y2 z3", [("email", 0, 8), ("ip", 0, 2), ("card", 1, 2), ("phone", 6, 8)])
+    assert (seen[0][:, 1:5] == [[6, 6, 6, 0], [6, 0, 0, 0], [6, 0, 0, 6]]).all()
+
+
+def test_messages_on_a_tree_are_exact():
+    """On a chain and on a star, settled scores are the logarithms of the marginals, up to a constant for each node."""
+    rng = np.random.default_rng(9)
+    for edges in ([(0, 1, 0.6), (1, 2, 0.6), (2, 3, 0.6)], [(0, 3, 2.0), (1, 3, 2.0), (2, 3, 2.0)]):
+        for chains in (0, 3):
+            u = rng.normal(size=(4, 6))
+            p = np.zeros((4, 6))
+            for y in itertools.product(range(6), repeat=4):
+                bonus = sum(w for k, (a, b, w) in enumerate(edges) if y[a] == y[b] and not (k < chains and y[a] == 0))
+                p[np.arange(4), y] += np.exp(sum(u[i, y[i]] for i in range(4)) + bonus)
+            got = np.exp(pii.settle(u, edges, chains))
+            assert np.allclose(got / got.sum(1, keepdims=True), p / p.sum(1, keepdims=True), atol=1e-3)
+
+
 def test_skip_links_carry_labels():
     secret = "Zk81mQ7xP2vT94LbR6aa"
     alone, linked = f"see {secret} now", f'token = "{secret}" and later, far away, {secret} again'
