@@ -5,8 +5,13 @@ Works per `file_id`; a function span is scored by giving it a file_id of its own
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .tokens import as_of
@@ -26,10 +31,13 @@ def innermost_depth(points: DataFrame, at: Column, scopes: DataFrame) -> DataFra
     hi = "floor(byte_offset / shiftleft(1L, l))"
     cells = F.expr(f"flatten(transform(sequence(0, {LEVELS - 1}), l -> filter(array(if({lo} < {hi} and {lo} % 2 = 1, struct(l, bigint({lo}) as c), null), if({lo} < {hi} and {hi} % 2 = 1, struct(l, bigint({hi}) - 1 as c), null)), x -> x is not null)))")
     cut = scopes.where("scope_start < byte_offset").select("file_id", "depth", F.explode(cells).alias("s")).groupBy("file_id", F.col("s.l").alias("_l"), F.col("s.c").alias("_c")).agg(F.max("depth").alias("_d"))
-    keyed = points.withColumn("_at", at).withColumn("_pt", F.struct(*points.columns))
-    probe = keyed.select("file_id", "_pt", F.posexplode(F.expr(f"transform(sequence(0, {LEVELS - 1}), l -> shiftright(_at, l))")).alias("_l", "_c"))
-    hits = probe.join(cut, ["file_id", "_l", "_c"], "left").groupBy("_pt").agg(F.coalesce(F.max("_d"), F.lit(0)).cast("long").alias("depth"))
-    return hits.select("_pt.*", "depth")
+    # a point is looked up on the levels that its file has cells on, not on all
+    levels = cut.groupBy("file_id").agg(F.collect_set("_l").alias("_ls"))
+    names = [c for c in points.columns if c != "file_id"]
+    keyed = points.withColumn("_at", at).join(levels, "file_id", "left")
+    probe = keyed.select(*points.columns, F.explode_outer(F.transform("_ls", lambda x: F.struct(x.alias("l"), F.call_function("shiftright", F.col("_at"), x).alias("c")))).alias("_s")).select(*points.columns, F.col("_s.l").alias("_l"), F.col("_s.c").alias("_c"))
+    hits = probe.join(cut, ["file_id", "_l", "_c"], "left").groupBy("file_id", *names).agg(F.coalesce(F.max("_d"), F.lit(0)).cast("long").alias("depth"))
+    return hits.select(*points.columns, "depth")
 
 
 def percentile_tau(tokens: DataFrame, percent: float) -> DataFrame:
@@ -38,43 +46,48 @@ def percentile_tau(tokens: DataFrame, percent: float) -> DataFrame:
 
 
 def boundaries(tokens: DataFrame, lines: DataFrame, scopes: DataFrame, ranges: DataFrame, tau: DataFrame, mode: str = "structural", starts: bool = True) -> DataFrame:
-    """file_id, boundary (token index), ta (its start), tz_before (the end of the token before it), and per file me, se, mark (a hot
-    line was dropped at the source's start) and has_ranges (i01).
+    """file_id, boundary (token index), ta (its start), tz_before (the end of the token before it), and per file me, mark (a hot line was
+    dropped at the source's start) and has_ranges (i01).
 
-    Tokens, line starts, scope ends, ranges and thresholds are one stream of events per file: one
-    shuffle by file_id, and all lookups are windows over it. Events at one byte come in the order
-    scope end, line start, range, token.
+    Tokens, line starts, scope ends and a row of each file's limits (first of all) are one stream of
+    events per file: one shuffle, one sort, and all lookups are running windows in that order; no
+    frame looks at a whole file. Events at one byte come in the order scope end, line start, token.
+    A token is told by bytes: it lies before the source if it ends by ms, beyond it if it starts at me.
     """
-    end, start, span, token, limit = range(5)
+    limit, end, start, token = range(4)
     none = lambda kind: F.lit(None).cast(kind)
-    row = lambda df, kind, x, e=none("long"), i=none("long"), h=none("double"): df.select("file_id", F.lit(kind).alias("k"), x.cast("long").alias("x"), e.cast("long").alias("e"), i.cast("long").alias("idx"), h.cast("double").alias("h"))
+    limits = "struct<tau:double,ms:bigint,me:bigint>"
+    row = lambda df, kind, x, e=none("long"), i=none("long"), h=none("double"), f=none(limits): df.select("file_id", F.lit(kind).alias("k"), x.cast("long").alias("x"), e.cast("long").alias("e"), i.cast("long").alias("idx"), h.cast("double").alias("h"), f.cast(limits).alias("f"))
+    known = tau.select("file_id", "tau").join(ranges.groupBy("file_id").agg(F.min("start_byte").alias("ms"), F.max("end_byte").alias("me")), "file_id", "left")
     events = row(tokens, token, F.col("start_byte"), F.col("end_byte"), F.col("idx"), F.col("entropy"))
-    events = events.unionAll(row(lines, start, F.col("line_start"))).unionAll(row(ranges, span, F.col("start_byte"), F.col("end_byte")))
-    events = events.unionAll(row(tau, limit, F.lit(-1), h=F.col("tau")))
+    events = events.unionAll(row(lines, start, F.col("line_start"))).unionAll(row(known, limit, F.lit(-1), f=F.struct("tau", "ms", "me")))
     if mode == "structural":
         events = events.unionAll(row(scopes, end, F.col("byte_offset")))
     is_ = lambda kind: F.col("k") == kind
-    whole = Window.partitionBy("file_id")
-    of = lambda kind, f, c: f(F.when(is_(kind), F.col(c))).over(whole)
-    events = events.withColumns({"ms": F.coalesce(of(span, F.min, "x"), of(token, F.min, "x")), "me": F.coalesce(of(span, F.max, "e"), of(token, F.max, "e")), "tau": of(limit, F.max, "h"), "has_ranges": F.max(is_(span)).over(whole)})
-    inside = is_(token) & (F.col("x") < F.col("me"))
-    events = events.withColumns({"ss": F.count_if(is_(token) & (F.col("e") <= F.col("ms"))).over(whole), "se": F.count_if(inside).over(whole), "last_end": F.max(F.when(inside, F.col("e"))).over(whole)})
-    seen = Window.partitionBy("file_id").orderBy("x", "k")
-    past = seen.rowsBetween(Window.unboundedPreceding, -1)
-    events = events.withColumns({"line_start": F.last(F.when(is_(start), F.col("x")), ignorenulls=True).over(seen.rowsBetween(Window.unboundedPreceding, 0)), "n_past": F.count_if(is_(token)).over(past), "end_past": F.max(F.when(is_(token), F.col("e"))).over(past)})
-    events = events.where(is_(token) | is_(end)).withColumn("line_first", F.min("idx").over(Window.partitionBy("file_id", "line_start")))
-    hot = is_(token) & (F.col("idx") >= F.col("ss") + int(starts)) & (F.col("idx") < F.col("se")) & (F.col("h") >= F.col("tau"))
-    cut = lambda at, is_hot, ta=none("long"), before=none("long"): F.struct(at.cast("long").alias("boundary"), is_hot.alias("hot"), ta.alias("ta"), before.alias("tz_before"))
+    order = Window.partitionBy("file_id").orderBy("x", "k")
+    upto, past = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    latest = lambda c, over: F.last(c, ignorenulls=True).over(over)
+    events = events.withColumns({"f": latest(F.col("f"), upto), "n_past": F.count_if(is_(token)).over(past), "end_past": F.max(F.when(is_(token), F.col("e"))).over(past), "n_ends": F.count_if(is_(end)).over(upto)})
+    events = events.withColumns({"line_n": latest(F.when(is_(start), F.col("n_past")), upto), "ends_past": latest(F.when(is_(token), F.col("n_ends")), past)})
+    ms, me = F.col("f.ms"), F.col("f.me")
+    within = ms.isNull() | (F.col("e") > ms)
+    after = (F.col("n_past") > 0) & (ms.isNull() | (F.col("end_past") > ms))  # the token before it is within, too
+    found = events.where(is_(token)).withColumn("own", F.struct(F.col("idx").alias("i"), F.col("x").alias("x"), F.col("end_past").alias("e")))
+    found = found.withColumns({"line_token": latest(F.when(F.col("n_past") == F.col("line_n"), F.col("own")), upto), "first_token": latest(F.when(within & ~after, F.col("own")), upto), "next_x": F.lead("x").over(order)})
+    inside = me.isNull() | (F.col("x") < me)
+    hot = inside & (after if starts else within) & (F.col("h") >= F.col("f.tau"))
+    at = F.when(F.col("line_token.i") >= F.col("first_token.i"), F.col("line_token")).otherwise(F.col("first_token"))
+    cut = lambda i, is_hot, ta, before: F.struct(i.cast("long").alias("boundary"), F.lit(is_hot).alias("hot"), ta.cast("long").alias("ta"), before.cast("long").alias("tz_before"))
     made = F.array(
-        F.when(hot, cut(F.greatest("line_first", "ss"), F.lit(True))),
-        F.when(is_(end), cut(F.col("n_past"), F.lit(False))),
-        F.when(is_(token) & (F.col("idx") == F.col("ss")), cut(F.col("idx"), F.lit(False))),
-        F.when(is_(token) & (F.col("idx") == F.col("se") - 1), cut(F.col("se"), F.lit(False), before=F.col("last_end"))),
-        F.when(is_(token), cut(F.col("idx"), none("boolean"), F.col("x"), F.col("end_past"))),
+        F.when(hot, cut(at["i"], True, at["x"], at["e"])),
+        F.when(inside & after & (F.col("n_ends") > F.col("ends_past")), cut(F.col("idx"), False, F.col("x"), F.col("end_past"))),
+        F.when(inside & within & ~after, cut(F.col("idx"), False, F.col("x"), F.col("end_past"))),
+        F.when(inside & (F.col("next_x").isNull() | F.coalesce(F.col("next_x") >= me, F.lit(False))), cut(F.col("idx") + 1, False, none("long"), F.greatest("end_past", "e"))),
     )
-    rows = events.select("file_id", "me", "ss", "se", "has_ranges", F.explode(F.filter(made, lambda m: m.isNotNull())).alias("m")).select("file_id", "me", "ss", "se", "has_ranges", "m.*").where("boundary >= ss and boundary <= se")
-    kept = rows.groupBy("file_id", "boundary").agg(*(F.max(c).alias(c) for c in ("me", "ss", "se", "has_ranges", "hot", "ta", "tz_before"))).where("hot is not null")
-    return kept.withColumn("mark", F.coalesce(F.max(F.when(F.col("boundary") == F.col("ss"), F.col("hot"))).over(whole), F.lit(False))).drop("hot", "ss")
+    rows = found.select("file_id", me.alias("me"), F.explode(F.filter(made, lambda m: m.isNotNull())).alias("m"), F.col("first_token.i").alias("ss")).select("file_id", "me", "ss", "m.*")
+    kept = rows.groupBy("file_id", "boundary").agg(*(F.max(c).alias(c) for c in ("me", "hot", "ta", "tz_before", "ss")))
+    marked = F.max(F.when(F.col("boundary") == F.col("ss"), F.col("hot"))).over(Window.partitionBy("file_id"))
+    return kept.withColumns({"mark": F.coalesce(marked, F.lit(False)), "has_ranges": F.col("me").isNotNull()}).drop("hot", "ss")
 
 
 def detect_units(tokens: DataFrame, lines: DataFrame, scopes: DataFrame, ranges: DataFrame, tau: DataFrame, mode: str = "structural", starts: bool = True) -> DataFrame:
@@ -92,8 +105,6 @@ def detect_units(tokens: DataFrame, lines: DataFrame, scopes: DataFrame, ranges:
     return units.withColumn("seq", F.row_number().over(Window.partitionBy("file_id").orderBy("start_byte", "end_byte")) - 1).select("file_id", "seq", "start_byte", "end_byte", "depth")
 
 
-FOLD = """aggregate(d, named_struct('st', cast(array() as array<bigint>), 'lv', cast(array() as array<bigint>)),
-  (a, x) -> named_struct('st', concat(filter(a.st, y -> y < x), array(x)), 'lv', concat(a.lv, array(2L + size(filter(a.st, y -> y < x))))), a -> a.lv)"""
 SUM_FOLD = """aggregate(d, named_struct('st', cast(array() as array<bigint>), 'lv', 0L, 'most', 0L),
   (a, x) -> named_struct('st', concat(filter(a.st, y -> y < x), array(x)), 'lv', a.lv + 2L + size(filter(a.st, y -> y < x)), 'most', greatest(a.most, 2L + size(filter(a.st, y -> y < x)))))"""
 
@@ -115,22 +126,45 @@ def score_trees(units: DataFrame, alpha: float = 0.8, order: str = "seq") -> Dat
 
 
 def unit_nodes(units: DataFrame, order: str = "seq") -> DataFrame:
-    """Flat tree: file_id, seq, level, parent_seq (null: the root), branching, node_end (greatest end of itself and what is below) (j17, a27).
+    """Flat tree: file_id, seq, level, parent_seq (null: the root), branching, node_end (greatest end of itself and what is below) (i04, j17, a27).
 
-    The parent of a unit is the nearest earlier one with a smaller depth; parents and ends come
-    from one fold per file, not from a self join.
+    The parent of a unit is the nearest earlier one with a smaller depth. A file's units pass one
+    task in order; a stack of open nodes is all that it holds, and a node is written when it closes.
     """
-    ordered = units.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("i"), F.col("depth").cast("long").alias("d"), F.col("end_byte").cast("long").alias("e")))).alias("u"))
-    fold = """aggregate(u, named_struct('st', cast(array() as array<struct<i:bigint,d:bigint>>), 'out', cast(array() as array<struct<i:bigint,p:bigint,l:bigint,e:bigint>>)),
-      (a, x) -> named_struct('st', concat(filter(a.st, y -> y.d < x.d), array(named_struct('i', x.i, 'd', x.d))),
-        'out', concat(a.out, array(named_struct('i', x.i, 'p', element_at(filter(a.st, y -> y.d < x.d), -1).i, 'l', 2L + size(filter(a.st, y -> y.d < x.d)), 'e', x.e)))), a -> a.out)"""
-    safe = fold.replace("element_at(filter(a.st, y -> y.d < x.d), -1).i", "try_element_at(filter(a.st, y -> y.d < x.d), -1).i")
-    flat = ordered.select("file_id", F.explode(F.expr(safe)).alias("n")).select("file_id", F.col("n.i").alias("seq"), F.col("n.p").alias("parent_seq"), F.col("n.l").alias("level"), F.col("n.e").alias("_e"))
-    # below a node: all later units until the next one whose level is not greater
-    last = flat.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("seq", "level", "_e"))).alias("a"))
-    ends = last.select("file_id", F.explode(F.expr("transform(a, (x, k) -> named_struct('seq', x.seq, 'node_end', aggregate(slice(a, k + 1, size(a)), named_struct('open', true, 'm', 0L), (s, y) -> if(s.open and (y.seq = x.seq or y.level > x.level), named_struct('open', true, 'm', greatest(s.m, y._e)), named_struct('open', false, 'm', s.m)), s -> s.m)))")).alias("z")).select("file_id", "z.seq", "z.node_end")
-    kids = flat.where("parent_seq is not null").groupBy("file_id", F.col("parent_seq").alias("seq")).agg(F.count("*").alias("branching"))
-    return flat.drop("_e").join(ends, ["file_id", "seq"]).join(kids, ["file_id", "seq"], "left").withColumn("branching", F.coalesce("branching", F.lit(0)))
+    rows = units.select("file_id", F.col(order).cast("long").alias("i"), F.col("depth").cast("long").alias("d"), F.col("end_byte").cast("long").alias("e"))
+    schema = StructType([StructField("file_id", rows.schema["file_id"].dataType), *(StructField(c, LongType()) for c in ("seq", "parent_seq", "level", "branching", "node_end"))])
+    key_type = to_arrow_type(rows.schema["file_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stack, out = None, [], []  # of an open node: seq, depth, children, greatest end
+
+        def close(depth: int | None) -> None:
+            while stack and (depth is None or stack[-1][1] >= depth):
+                seq, _, children, end = stack.pop()
+                out.append((at, seq, stack[-1][0] if stack else None, len(stack) + 2, children, end))
+                if stack:
+                    stack[-1][3] = max(stack[-1][3], end)
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], key_type), *(pa.array([r[k] for r in out], pa.int64()) for k in range(1, 6))], names=schema.names)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for file_id, i, d, e in zip(*(c.to_pylist() for c in batch.columns)):
+                if file_id != at:
+                    close(None)
+                    at = file_id
+                else:
+                    close(d)
+                if stack:
+                    stack[-1][2] += 1
+                stack.append([i, d, 0, e])
+            yield flush()
+        close(None)
+        yield flush()
+
+    return rows.repartition("file_id").sortWithinPartitions("file_id", "i").mapInArrow(run, schema)
 
 
 def token_metrics(tokens: DataFrame, tau: DataFrame) -> DataFrame:

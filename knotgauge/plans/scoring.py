@@ -92,8 +92,8 @@ def provider_tokens(spark, sf_dir):
 
 @query("a01_token_metrics", f"WITH {TOKENS} SELECT file_id, count(num) AS token_count, count(*) FILTER (num >= 72) AS high_entropy_tokens, round(CAST(sum(num) AS DOUBLE) / 30, 6) AS entropy_sum, round(CAST(count(*) FILTER (num >= 72) AS DOUBLE) / nullif(count(num), 0), 9) AS density, round(CAST(sum(num) AS DOUBLE) / 30 / nullif(count(num), 0), 6) AS mean_entropy FROM tok GROUP BY file_id")
 def token_metrics(spark, sf_dir):
-    tokens = tk.deterministic_tokens(files(spark, sf_dir))
-    m = un.token_metrics(tokens, tokens.select("file_id").distinct().withColumn("tau", F.lit(TAU)))
+    docs = files(spark, sf_dir)
+    m = un.token_metrics(tk.deterministic_tokens(docs), docs.select("file_id", F.lit(TAU).alias("tau")))
     total = F.nullif("token_count", F.lit(0))
     return m.select("file_id", "token_count", "high_entropy_tokens", F.round("entropy_sum", 6).alias("entropy_sum"), F.round(F.try_divide("high_entropy_tokens", total), 9).alias("density"), F.round(F.try_divide("entropy_sum", total), 6).alias("mean_entropy"))
 
@@ -200,8 +200,7 @@ def deep_units(spark, sf_dir):
 
 @query("i04_tree_levels", f"WITH {DEEP}, lists AS (SELECT file_id, list(depth ORDER BY seq) AS d FROM deep GROUP BY file_id), lv AS (SELECT file_id, unnest(range(1, len(d) + 1)) AS i, d FROM lists) SELECT file_id, CAST(i - 1 AS BIGINT) AS seq, CAST(2 + len(list_filter(range(1, i), lambda j: d[j] < list_min(d[j + 1 : i]))) AS BIGINT) AS level FROM lv")
 def tree_levels(spark, sf_dir):
-    d = un.depths_in_order(deep_units(spark, sf_dir))
-    return d.select("file_id", F.posexplode(F.expr(un.FOLD)).alias("seq", "level")).select("file_id", F.col("seq").cast("long").alias("seq"), "level")
+    return un.unit_nodes(deep_units(spark, sf_dir)).select("file_id", "seq", "level")
 
 
 @query("j17_parent_links", f"WITH {DEEP}, near AS (SELECT u.file_id, u.seq, max(p.seq) AS parent_seq FROM deep u JOIN deep p ON p.file_id = u.file_id AND p.seq < u.seq AND p.depth < u.depth GROUP BY u.file_id, u.seq) SELECT d.file_id, CAST(d.seq AS BIGINT) AS seq, CAST(parent_seq AS BIGINT) AS parent_seq FROM deep d LEFT JOIN near n ON n.file_id = d.file_id AND n.seq = d.seq")
@@ -257,11 +256,29 @@ def function_ranges(spark, sf_dir):
     return analysis.function_ranges(spans, ranges)
 
 
-@query("a06_function_metrics", f"WITH {TOKENS}, {LINES}, {FUNCS} SELECT file_id, line AS function, count(num) AS token_count, count(*) FILTER (num >= 72) AS high_entropy_tokens, round(CAST(coalesce(sum(num), 0) AS DOUBLE) / 30, 6) AS entropy_sum FROM ftok GROUP BY file_id, line")
+OWN = """
+fi AS (SELECT file_id, line, row_number() OVER (PARTITION BY file_id, line ORDER BY idx) - 1 AS i, start_byte, end_byte, num FROM ftok),
+fr AS (SELECT s.file_id, s.line, greatest(a, rs) AS rs, least(b, re) AS re FROM spans s JOIN ranges r ON r.file_id = s.file_id AND greatest(a, rs) < least(b, re)),
+fe AS (SELECT t.file_id, t.line, min(t.start_byte) AS t0, max(t.end_byte) AS t1, min(rs) AS r0, max(re) AS r1 FROM fi t LEFT JOIN fr USING (file_id, line) GROUP BY t.file_id, t.line),
+fb AS (SELECT t.file_id, t.line, any_value(coalesce(r0, t0)) AS ms, any_value(coalesce(r1, t1)) AS me, any_value(r0 IS NOT NULL) AS ranged, count(*) FILTER (t.end_byte <= coalesce(r0, t0)) AS ss, count(*) FILTER (t.start_byte < coalesce(r1, t1)) AS se FROM fi t JOIN fe USING (file_id, line) GROUP BY t.file_id, t.line),
+fs AS (SELECT s.file_id, s.line, c.a, c.b, c.depth FROM spans s JOIN scopes c ON c.file_id = s.file_id AND s.a <= c.a AND c.a < s.b AND c.b <= s.b),
+fc AS (SELECT file_id, line, ss AS k FROM fb WHERE ss < se UNION SELECT file_id, line, se FROM fb WHERE ss < se
+  UNION SELECT e.file_id, e.line, e.k FROM (SELECT x.file_id, x.line, x.b, (SELECT count(*) FROM fi t WHERE t.file_id = x.file_id AND t.line = x.line AND t.start_byte < x.b) AS k FROM (SELECT DISTINCT file_id, line, b FROM fs) x) e JOIN fb USING (file_id, line) WHERE e.k > ss AND e.k < se),
+fg AS (SELECT file_id, line, k AS a, lead(k) OVER (PARTITION BY file_id, line ORDER BY k) AS z FROM fc),
+ft AS (SELECT g.file_id, g.line, x.start_byte AS ta, least(y.end_byte, me) AS tz, y.end_byte AS raw_tz, ranged FROM fg g JOIN fi x ON x.file_id = g.file_id AND x.line = g.line AND x.i = g.a JOIN fi y ON y.file_id = g.file_id AND y.line = g.line AND y.i = g.z - 1 JOIN fb ON fb.file_id = g.file_id AND fb.line = g.line WHERE z IS NOT NULL),
+fu AS (SELECT t.file_id, t.line, CASE WHEN ranged THEN greatest(ta, min(rs)) ELSE ta END AS s, tz AS e FROM ft t LEFT JOIN fr r ON r.file_id = t.file_id AND r.line = t.line AND r.re > t.ta GROUP BY t.file_id, t.line, ta, tz, raw_tz, ranged HAVING NOT ranged OR min(rs) < raw_tz),
+fd AS (SELECT u.file_id, u.line, u.s, u.e, coalesce(max(c.depth), 0) AS depth FROM fu u LEFT JOIN fs c ON c.file_id = u.file_id AND c.line = u.line AND c.a <= u.s AND u.s < c.b GROUP BY u.file_id, u.line, u.s, u.e QUALIFY count(*) OVER (PARTITION BY u.file_id, u.line) > 1),
+fl AS (SELECT file_id, line, list(depth ORDER BY s, e) AS d FROM fd GROUP BY file_id, line),
+fv AS (SELECT file_id, line, len(d) AS n, list_sum(list_transform(range(1, len(d) + 1), lambda i: 2 + len(list_filter(range(1, i), lambda j: d[j] < list_min(d[j + 1 : i]))))) AS lv FROM fl),
+fm AS (SELECT file_id, line, count(num) AS token_count, count(*) FILTER (num >= 72) AS high, CAST(coalesce(sum(num), 0) AS DOUBLE) / 30 AS total FROM ftok GROUP BY file_id, line)"""
+
+
+@query("a06_function_metrics", f"WITH {TOKENS}, {LINES}, {SCOPES}, {FUNCS}, {OWN} SELECT file_id, line AS function, token_count, high AS high_entropy_tokens, round(total, 6) AS entropy_sum, CAST(coalesce(n, 0) AS BIGINT) AS total_branch, CAST(coalesce(1 + lv, 1) AS BIGINT) AS total_comp_level, round(CAST(0.8 AS DOUBLE) * coalesce(n, 0) + CAST(0.2 AS DOUBLE) * coalesce(1 + lv, 1), 6) AS tree_score FROM fm LEFT JOIN fv USING (file_id, line)")
 def function_metrics(spark, sf_dir):
     tokens, lines, scopes, ranges, tau = parts(spark, sf_dir)
     scored = analysis.score_functions(spans_of(lines), tokens, lines, scopes, ranges, TAU, ALPHA)
-    return scored.select("file_id", "function", "token_count", "high_entropy_tokens", F.round("entropy_sum", 6).alias("entropy_sum"))
+    whole = [F.col(c).cast("long").alias(c) for c in ("total_branch", "total_comp_level")]
+    return scored.select("file_id", "function", "token_count", "high_entropy_tokens", F.round("entropy_sum", 6).alias("entropy_sum"), *whole, F.round("tree_score", 6).alias("tree_score"))
 
 
 # -- totals
@@ -337,8 +354,13 @@ def token_order(spark, sf_dir):
     return tk.token_faults(rows)
 
 
-@query("v03_byte_cover", f"WITH {TURNS} SELECT file_id, TRUE AS covered FROM t GROUP BY file_id")
+_SPOILT = "SELECT file_id, position, CASE WHEN file_id % 5 = 1 AND position = 1 THEN 'zz' ELSE text END AS text FROM t WHERE file_id % 5 <> 2 OR position <> 1"
+
+
+@query("v03_byte_cover", f"WITH {TURNS}, m AS ({_SPOILT}), a AS (SELECT file_id, string_agg(text, '' ORDER BY position) AS whole FROM t GROUP BY file_id), b AS (SELECT file_id, string_agg(text, '' ORDER BY position) AS made FROM m GROUP BY file_id) SELECT file_id, whole = made AS covered FROM a JOIN b USING (file_id)")
 def byte_cover(spark, sf_dir):
+    """Records of which some have a wrong piece and some lack one."""
     plain = records(spark, sf_dir)
     source = plain.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", F.col("bytes").cast("string").alias("s")))), lambda x: x["s"]), "").alias("text"))
-    return tk.coverage_faults(plain, source)
+    spoilt = plain.where("file_id % 5 <> 2 or position <> 1").withColumn("bytes", F.when(F.expr("file_id % 5 = 1 and position = 1"), F.lit("zz").cast("binary")).otherwise(F.col("bytes")))
+    return tk.coverage_faults(spoilt, source)
