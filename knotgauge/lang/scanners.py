@@ -11,6 +11,7 @@ from __future__ import annotations
 import ast
 import io
 import re
+import time
 import tokenize
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 
 LANGUAGES = ("rust", "c", "cpp", "java", "python", "go", "javascript", "csharp")
 MOST_DEPTH = 1024
+SECONDS = 300.0
 _NOT_FUNCTIONS = {"if", "for", "while", "switch", "catch", "else", "do", "try", "match", "loop", "unsafe", "struct", "class", "enum", "union", "namespace", "interface", "impl", "trait", "mod", "extern", "select", "using", "lock", "return", "new", "record"}
 _HEAD = {
     "rust": re.compile(r"\bfn\s+(\w+)"),
@@ -33,6 +35,26 @@ class TooDeep(ValueError):
     """Scopes nest beyond MOST_DEPTH."""
 
 
+class TooLong(ValueError):
+    """A file takes longer than its budget."""
+
+
+class Budget:
+    """The time that one file may take (v08): loops tick, and the clock is read now and then."""
+
+    def __init__(self, seconds: float = SECONDS, every: int = 4096):
+        self.end, self.every, self.ticks = time.monotonic() + seconds, every, 0
+
+    def tick(self) -> None:
+        self.ticks += 1
+        if self.ticks % self.every == 0:
+            self.check()
+
+    def check(self) -> None:
+        if time.monotonic() > self.end:
+            raise TooLong("the file takes too long")
+
+
 @dataclass
 class Prepared:
     text: str
@@ -41,11 +63,12 @@ class Prepared:
     kept: list[tuple[int, int, int]] = field(default_factory=list)
 
 
-def _comment_spans(text: str, language: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def _comment_spans(text: str, language: str, budget: Budget) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(comments, literals) of a brace language, in characters."""
     comments, literals, i, n = [], [], 0, len(text)
     quotes = "\"'`" if language in ("javascript", "go") else "\"'"
     while i < n:
+        budget.tick()
         two = text[i : i + 2]
         if two == "//":
             end = text.find("\n", i)
@@ -84,20 +107,23 @@ def _comment_spans(text: str, language: str) -> tuple[list[tuple[int, int]], lis
     return comments, literals
 
 
-def _python_spans(text: str) -> list[tuple[int, int]]:
+def _python_spans(text: str, budget: Budget) -> list[tuple[int, int]]:
     """Comments and docstrings of Python, in characters."""
+    lines = text.split("\n")  # as the tokenizer counts them: other line ends are characters
     starts = [0]
-    for line in text.splitlines(keepends=True):
-        starts.append(starts[-1] + len(line))
+    for line in lines:
+        starts.append(starts[-1] + len(line) + 1)
     spans = []
     try:
         for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            budget.tick()
             if t.type == tokenize.COMMENT:
                 a = starts[t.start[0] - 1] + t.start[1]
                 spans.append((a, a + len(t.string)))
+        budget.check()
         for node in ast.walk(ast.parse(text)):
+            budget.tick()
             if isinstance(node, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and node.body and isinstance(node.body[0], ast.Expr) and isinstance(v := node.body[0].value, ast.Constant) and isinstance(v.value, str):
-                lines = text.splitlines(keepends=True)
                 at = lambda row, col: starts[row - 1] + len(lines[row - 1].encode()[:col].decode(errors="ignore"))
                 spans.append((at(v.lineno, v.col_offset), at(v.end_lineno, v.end_col_offset)))
     except (tokenize.TokenError, SyntaxError, IndentationError):
@@ -132,8 +158,8 @@ def _remove(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[in
     return "".join(out), kept
 
 
-def _brace_scopes(text: str, language: str) -> tuple[list, list]:
-    _, literals = _comment_spans(text, language)
+def _brace_scopes(text: str, language: str, budget: Budget) -> tuple[list, list]:
+    _, literals = _comment_spans(text, language, budget)
     masked = list(text)
     for a, b in literals:
         masked[a:b] = [c if c == "\n" else "_" for c in text[a:b]]
@@ -145,6 +171,7 @@ def _brace_scopes(text: str, language: str) -> tuple[list, list]:
     at[len(text)] = size
     stack, scopes, functions, head = [], [], [], 0
     for i, c in enumerate(masked):
+        budget.tick()
         if c == "{":
             name, before = "", masked[head:i].strip()
             found = _HEAD[language].search(before) if language in _HEAD else _CALL.search(before)
@@ -169,7 +196,7 @@ def _brace_scopes(text: str, language: str) -> tuple[list, list]:
     return sorted(scopes), sorted(functions, key=lambda f: f[1])
 
 
-def _python_scopes(text: str) -> tuple[list, list]:
+def _python_scopes(text: str, budget: Budget) -> tuple[list, list]:
     try:
         tree = ast.parse(text)
     except SyntaxError:
@@ -185,6 +212,7 @@ def _python_scopes(text: str) -> tuple[list, list]:
         if depth > MOST_DEPTH:
             raise TooDeep("python")
         for child in ast.iter_child_nodes(node):
+            budget.tick()
             deeper, in_function = depth, inside
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.Match)):
                 first = child.body[0] if getattr(child, "body", None) else child
@@ -205,19 +233,22 @@ def _python_scopes(text: str) -> tuple[list, list]:
     return sorted(scopes), sorted(functions, key=lambda f: f[1])
 
 
-def prepare(text: str, language: str) -> Prepared:
+def prepare(text: str, language: str, seconds: float = SECONDS) -> Prepared:
+    """Comments removed, scopes and functions found; TooDeep or TooLong beyond a file's limits."""
     if language not in LANGUAGES:
         raise ValueError(f"unknown language {language}")
-    spans = _python_spans(text) if language == "python" else _comment_spans(text, language)[0]
+    budget = Budget(seconds)
+    spans = _python_spans(text, budget) if language == "python" else _comment_spans(text, language, budget)[0]
     clean, kept = _remove(text, spans)
-    scopes, functions = (_python_scopes if language == "python" else lambda t: _brace_scopes(t, language))(clean)
+    budget.check()
+    scopes, functions = _python_scopes(clean, budget) if language == "python" else _brace_scopes(clean, language, budget)
     return Prepared(clean, scopes, functions, kept)
 
 
 SCHEMA = "file_id long, text string, scopes array<struct<scope_start:bigint,byte_offset:bigint,depth:bigint>>, functions array<struct<name:string,start_byte:bigint,end_byte:bigint>>, error string"
 
 
-def prepare_files(files: DataFrame) -> DataFrame:
+def prepare_files(files: DataFrame, seconds: float = SECONDS) -> DataFrame:
     """(file_id, text, language) -> cleaned text, scopes and functions, or an error; one file's fault is its own row's."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,7 +256,7 @@ def prepare_files(files: DataFrame) -> DataFrame:
             rows = []
             for file_id, text, language in zip(batch["file_id"], batch["text"], batch["language"]):
                 try:
-                    p = prepare(text or "", language)
+                    p = prepare(text or "", language, seconds)
                     rows.append((file_id, p.text, [dict(zip(("scope_start", "byte_offset", "depth"), s)) for s in p.scopes], [dict(zip(("name", "start_byte", "end_byte"), f)) for f in p.functions], None))
                 except (ValueError, RecursionError) as e:
                     rows.append((file_id, None, [], [], str(e) or type(e).__name__))

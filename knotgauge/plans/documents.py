@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import extension
 from ..lang import prepare_files
-from ..operators import compare as cp
 from ..sources.discovery import read_sources
-from .registry import query, table
-from .snapshots import INVENTORY, inventories, results
+from .registry import query, sql_over, table
 
 
 @query("s03_file_walk")
@@ -19,37 +17,56 @@ def file_walk(spark, sf_dir):
     return admitted.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "size", extension(F.col("path")).alias("ext"))
 
 
-_SNIPPETS = "concat('def f', doc_id, '(a):\n    # ', replace(substr(text, 1, 40), '\n', ' '), '\n    if a:\n        return [x for x in a]\n')"
+# A source in each language around the whole text of a document, whose lines are comments: (head, start of a comment, tail).
+_SOURCES = {
+    "rust": ("fn f{id}(a: i32) -> i32 {{\n", "//", "    if a > 0 {{ return 1; }}\n    0\n}}\n"),
+    "c": ("int f{id}(int a) {{\n", "//", "    if (a) {{ return 1; }}\n    return 0;\n}}\n"),
+    "cpp": ("int N::f{id}(int a) const {{\n", "//", "    auto g = [&](int b) {{ return b; }};\n    return g(a);\n}}\n"),
+    "java": ("class C {{\n  int f{id}(int a) {{\n", "//", "    return a;\n  }}\n}}\n"),
+    "python": ("@d\ndef f{id}(a):\n    pass\n", "#", "    def inner(b):\n        return b\n    return [inner(x) for x in a]\n"),
+    "go": ("func f{id}(a int) int {{\n", "//", "    if a > 0 {{ return 1 }}\n    return 0\n}}\n"),
+    "javascript": ("function f{id}(a) {{\n", "//", "    const g = (b) => {{ return b }}\n    return g(a)\n}}\n"),
+    "csharp": ("class C {{\n  int f{id}(int a) {{\n", "//", "    return a;\n  }}\n}}\n"),
+}
 
 
-@query("u02_language_preprocessing")
+def _sources(part: str) -> str:
+    """SQL of one part of the sources by document."""
+    quoted = {x: v for x, v in zip(_SOURCES, (parts[("head", "mark", "tail").index(part)] for parts in _SOURCES.values()))}
+    text = lambda v: "concat('" + v.format(id="', CAST(doc_id AS STRING), '").replace("\n", "', chr(10), '") + "')"
+    return "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {text(v)}" for k, v in enumerate(quoted.values())) + " END"
+
+
+_LANG = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_SOURCES)) + " END"
+_NAME = "concat(CASE WHEN doc_id % 8 = 2 THEN 'N::' ELSE '' END, 'f', CAST(doc_id AS STRING))"
+_TEXT = "replace(coalesce(text, ''), chr(13), ' ')"
+
+
+@query("u02_language_preprocessing", f"SELECT doc_id AS file_id, {_LANG} AS language, {_NAME} AS function, CAST(1 AS INT) AS n_functions, CAST(octet_length(encode({_sources('head')})) + length({_TEXT}) - length(replace({_TEXT}, chr(10), '')) + 1 + octet_length(encode({_sources('tail')})) AS BIGINT) AS n_left, TRUE AS clean, CAST(NULL AS VARCHAR) AS error FROM documents")
 def preprocessing(spark, sf_dir):
-    """Generated Python functions, one a document: comments go, scopes and functions are found."""
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.expr(_SNIPPETS).alias("text"), F.lit("python").alias("language"))
-    out = prepare_files(files)
-    return out.select("file_id", F.size("scopes").alias("n_scopes"), F.col("functions")[0]["name"].alias("function"), (F.instr("text", "#") == 0).alias("clean"), "error")
-
-
-@query("v05_plan_validation", f"WITH {INVENTORY}, m AS (SELECT key, size FROM items WHERE key NOT IN (SELECT key FROM results)) SELECT 'items' AS check_name, CAST(0 AS BIGINT) AS faults, (SELECT count(*) FROM items) AS checked UNION ALL SELECT 'workers', 0, (SELECT count(*) FROM m)")
-def plan_validation(spark, sf_dir):
-    """Items and inventories refer to each other; the packed work is the misses, each once."""
-    inv = inventories(spark, sf_dir)
-    work = cp.items(inv)
-    missed = work.join(results(work), "key", "left_anti").withColumn("group", F.lit("all"))
-    packed = cp.pack_longest_first(missed.select("group", "key", "size"))
-    put = packed.select(F.explode("keys").alias("key"), F.lit(0).alias("one"))
-    cover = cp.key_mismatch(missed.select("key", F.lit(0).alias("one")), put, "one").agg(F.coalesce(F.sum(F.col("missing") + F.col("extra")), F.lit(0)).alias("faults"))
-    items = cp.plan_faults(inv, work).agg(F.count("*").alias("faults"))
-    row = lambda name, faults, rows: faults.select(F.lit(name).alias("check_name"), "faults").crossJoin(rows.agg(F.count("*").alias("checked")))
-    return row("items", items, work).unionByName(row("workers", cover, missed))
-
-
-@query("k04_tree_document", "SELECT user_id AS file_id, count(*) AS n_nodes FROM events GROUP BY user_id")
+    """A source around each whole text, in eight languages: the text's lines are comments and go, line ends stay, the outermost function is found."""
+    docs = table(spark, sf_dir, "documents")
+    mark = f"concat({_sources('mark')}, ' ')"
+    sql = f"SELECT doc_id AS file_id, {_LANG} AS language, concat({_sources('head')}, {mark}, replace({_TEXT}, chr(10), concat(chr(10), {mark})), chr(10), {_sources('tail')}) AS text FROM {{docs}}"
+    sources = sql_over(spark, sql, docs=docs)
+    out = prepare_files(sources).select("file_id", F.col("functions")[0]["name"].alias("function"), F.size("functions").alias("n_functions"), F.octet_length("text").cast("long").alias("n_left"), (~F.col("text").contains("//") & ~F.col("text").contains("#")).alias("clean"), "error")
+    return out.join(sources.select("file_id", "language"), "file_id")
+
+
+_LEVELS = """deep AS (SELECT user_id AS file_id, CAST(floor(value) AS BIGINT) % 8 AS depth, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
+lists AS (SELECT file_id, list(depth ORDER BY seq) AS d FROM deep GROUP BY file_id),
+lv AS (SELECT file_id, unnest(range(1, len(d) + 1)) AS i, d FROM lists),
+nodes AS (SELECT file_id, i - 1 AS seq, 2 + len(list_filter(range(1, i), lambda j: d[j] < list_min(d[j + 1 : i]))) AS level, (i - 1) * 7 + d[i] AS e FROM lv),
+below AS (SELECT n.file_id, n.seq, n.level, (SELECT coalesce(min(m.seq), 1000000000) FROM nodes m WHERE m.file_id = n.file_id AND m.seq > n.seq AND m.level <= n.level) AS stop FROM nodes n),
+full_nodes AS (SELECT b.file_id, b.seq, b.level, max(n.e) AS node_end, count(*) FILTER (n.level = b.level + 1) AS branching FROM below b JOIN nodes n ON n.file_id = b.file_id AND n.seq >= b.seq AND n.seq < b.stop GROUP BY b.file_id, b.seq, b.level),
+parts AS (SELECT *, lead(level) OVER (PARTITION BY file_id ORDER BY seq) AS nx FROM full_nodes)"""
+
+
+@query("k04_tree_document", f"""WITH {_LEVELS} SELECT file_id, '{{"level":1,"branching":' || CAST(count(*) FILTER (level = 2) AS VARCHAR) || ',"children":[' || string_agg('{{"seq":' || CAST(seq AS VARCHAR) || ',"level":' || CAST(level AS VARCHAR) || ',"branching":' || CAST(branching AS VARCHAR) || ',"node_end":' || CAST(node_end AS VARCHAR) || ',"children":[' || CASE WHEN nx > level THEN '' WHEN nx IS NULL THEN repeat(']}}', CAST(level - 1 AS INT)) ELSE repeat(']}}', CAST(level - nx + 1 AS INT)) || ',' END, '' ORDER BY seq) || ']}}' AS document FROM parts GROUP BY file_id""")
 def tree_document(spark, sf_dir):
-    """Flat nodes of each tree as one JSON document; nesting is the sink's (hierarchy.nest)."""
+    """Each tree as one nested JSON document."""
+    from ..operators.hierarchy import nested_json
     from ..operators.units import unit_nodes
     from .scoring import deep_units
 
-    nodes = unit_nodes(deep_units(spark, sf_dir))
-    doc = nodes.groupBy("file_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("seq", "parent_seq", "level", "branching", "node_end")))).alias("units"))
-    return doc.select("file_id", F.size(F.from_json("units", "array<struct<seq:bigint,level:bigint>>")).cast("long").alias("n_nodes"))
+    return nested_json(unit_nodes(deep_units(spark, sf_dir)))

@@ -23,3 +23,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def sql_over(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
+    """spark.sql() over DataFrames named {name} in a text that has braces of its own."""
+    plain = sql.replace("{", "{{").replace("}", "}}")
+    for name in frames:
+        plain = plain.replace("{{" + name + "}}", "{" + name + "}")
+    return spark.sql(plain, **frames)
