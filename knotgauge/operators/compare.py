@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import coverage, delta, ratio
+from ..functions.scalars import coverage, delta
+from .ranks import global_place
 from .rules import supported
 
 CATEGORIES = ("runtime", "tests", "tooling")
@@ -50,17 +54,33 @@ def valid_result(fingerprint: Column) -> Column:
     return F.coalesce((F.col("fingerprint") == fingerprint) & finite("tree_score") & finite("entropy_sum") & counts & (F.col("total_comp_level") <= 1 << 53), F.lit(False))
 
 
-def pack_longest_first(work: DataFrame, most_bins: int = 4) -> DataFrame:
-    """Per group: items largest first (then key), each to the least loaded, lowest bin (i05, o05): group, bin, keys, bytes.
+def assign_longest_first(work: DataFrame, most_bins: int = 4) -> DataFrame:
+    """Per group: items largest first (then key), each to the least loaded, lowest bin (i05, o05): group, bin, key, size.
 
-    One fold with an array of at most four loads; bins = least of most_bins and items.
+    A group's items pass one task in order, which holds the bins' loads and nothing else; the number
+    of bins is the least of most_bins and the group's items.
     """
-    ordered = work.groupBy("group").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), F.col("key").alias("key")))).alias("todo"))
-    fold = f"""aggregate(todo, named_struct('load', array_repeat(0L, least({most_bins}, size(todo))), 'put', cast(array() as array<struct<bin:int,key:string,size:bigint>>)),
-      (a, x) -> named_struct('load', transform(a.load, (l, i) -> if(i = array_position(a.load, array_min(a.load)) - 1, l - x.neg, l)),
-        'put', concat(a.put, array(named_struct('bin', int(array_position(a.load, array_min(a.load)) - 1), 'key', x.key, 'size', -x.neg)))), a -> a.put)"""
-    put = ordered.select("group", F.explode(F.expr(fold)).alias("p")).select("group", "p.bin", "p.key", "p.size")
-    return put.groupBy("group", "bin").agg(F.array_sort(F.collect_list("key")).alias("keys"), F.sum("size").alias("bytes"))
+    schema = work.select("group", F.lit(0).alias("bin"), "key", "size").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, load = object(), []
+        for batch in batches:
+            put = []
+            for group, size, bins in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if group != at:
+                    at, load = group, [0] * bins
+                put.append(least := load.index(min(load)))
+                load[least] += size
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(put, pa.int32()), batch.column(1), batch.column(2)], names=["group", "bin", "key", "size"])
+
+    counts = work.groupBy("group").agg(F.least(F.lit(most_bins), F.count("*")).cast("int").alias("bins"))
+    rows = work.join(counts, "group").select("group", "key", "size", "bins")
+    return rows.repartition("group").sortWithinPartitions("group", F.col("size").desc(), "key").mapInArrow(run, schema)
+
+
+def pack_longest_first(work: DataFrame, most_bins: int = 4) -> DataFrame:
+    """The same as group, bin, keys, bytes."""
+    return assign_longest_first(work, most_bins).groupBy("group", "bin").agg(F.array_sort(F.collect_list("key")).alias("keys"), F.sum("size").alias("bytes"))
 
 
 def key_mismatch(expected: DataFrame, actual: DataFrame, by: str) -> DataFrame:
@@ -136,9 +156,9 @@ def change_counts(rows: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """Rank by score, then path, in all and within a category (w01, w02). The first is a global order: a rank asks for one."""
+    """Rank by score, then path, in all and within a category (w01, w02)."""
     order = [F.col("tree_score").desc(), F.col("path")]
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("category_rank", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
+    return global_place(rows, F.col("tree_score"), order, "rank").withColumn("category_rank", F.row_number().over(Window.partitionBy("category").orderBy(*order)))
 
 
 def leaders(rows: DataFrame, k: int = 10) -> DataFrame:
@@ -165,5 +185,3 @@ def plan_faults(inventories: DataFrame, work: DataFrame) -> DataFrame:
     own = work.select("key", "blob_id", "language", F.coalesce("size", F.lit(0)).alias("size"))
     keys = [*same, "size"]
     return rows.join(own, keys, "left_anti").select("key", F.lit("row without item").alias("fault")).unionByName(own.join(rows, keys, "left_anti").select("key", F.lit("item without row").alias("fault")))
-
-

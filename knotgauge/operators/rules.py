@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +37,23 @@ ALWAYS_EXCLUDED = (".git", ".kg-cache")
 
 
 class BadRules(ValueError):
-    """A rules file that is too large, not JSON, or has an unknown key or a bad pattern."""
+    """A rules file that is too large, not JSON, or has an unknown key, a value of a wrong type, or a bad pattern."""
+
+
+#: Fixed value: how a configured extension is written.
+_extension = re.compile(r"\.[a-z0-9_+-]{1,16}").fullmatch
+
+
+def _patterns(name: str, value: object) -> list[str]:
+    """A list of globs that compile, else BadRules."""
+    if not isinstance(value, list) or not all(isinstance(p, str) and p for p in value):
+        raise BadRules(f"{name} is a list of globs")
+    try:
+        for p in value:
+            glob_regex(p)
+    except BadGlob as e:
+        raise BadRules(f"{name}: {e}") from e
+    return value
 
 
 @dataclass(frozen=True)
@@ -60,20 +77,19 @@ class Rules:
             raise BadRules(str(e)) from e
         if not isinstance(given, dict) or set(given) - set(KEYS):
             raise BadRules("not an object, or unknown keys")
-        lists = {k: tuple(given[k]) for k in ("exclude", "tests", "tooling") if k in given}
-        paths = tuple((p["pattern"], p["language"]) for p in given.get("paths", ()))
-        every = [*(p for v in lists.values() for p in v), *(p for p, _ in paths)]
-        if len(every) > MOST_PATTERNS:
+        lists = {k: tuple(_patterns(k, given[k])) for k in ("exclude", "tests", "tooling") if k in given}
+        paths = given.get("paths", [])
+        if not isinstance(paths, list) or not all(isinstance(p, dict) and set(p) == {"pattern", "language"} for p in paths):
+            raise BadRules("paths is a list of objects of a pattern and a language")
+        _patterns("paths", [p["pattern"] for p in paths])
+        if sum(map(len, lists.values())) + len(paths) > MOST_PATTERNS:
             raise BadRules(f"over {MOST_PATTERNS} patterns")
-        try:
-            for p in every:
-                glob_regex(p)
-        except BadGlob as e:
-            raise BadRules(str(e)) from e
         extensions = given.get("extensions", {})
-        if bad := [x for x in [*extensions.values(), *(x for _, x in paths)] if x not in EXTENSIONS]:
-            raise BadRules(f"unknown language {bad[0]}")
-        return cls(**lists, extensions=dict(extensions), paths=paths)
+        if not isinstance(extensions, dict) or not all(_extension(e) for e in extensions):
+            raise BadRules("extensions is an object with keys like .ext, in lower case")
+        if bad := [x for x in [*extensions.values(), *(p["language"] for p in paths)] if not isinstance(x, str) or x not in EXTENSIONS]:
+            raise BadRules(f"unknown language {bad[0]!r}")
+        return cls(**lists, extensions=dict(extensions), paths=tuple((p["pattern"], p["language"]) for p in paths))
 
     def language(self, path: Column) -> Column:
         """The first matching path rule, else a configured extension, else the built-in table (p01)."""

@@ -123,3 +123,41 @@ def memory_fits(model_bytes: Column, host: Column, gpu: Column, use_gpu: Column)
     """v09: weights and a tenth; half a GiB for the context. On a GPU the weights count there, the context on the host."""
     weights, context = F.floor(model_bytes * 1.1).cast("long"), F.lit(512 << 20)
     return F.when(use_gpu, (context <= host) & F.coalesce(weights <= gpu, F.lit(False))).otherwise(weights + context <= host)
+
+
+def repeat_difference(rows: DataFrame, value: str, by: list[str], run: str) -> DataFrame:
+    """The greatest absolute difference of a value across repetitions (a21): (by, n_runs, most). One aggregation: the extremes are the greatest difference."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count_distinct(run).alias("n_runs"), (F.max(value) - F.min(value)).alias("most"))
+
+
+def pair_functions(a: DataFrame, b: DataFrame, least_tokens: int = 100) -> DataFrame:
+    """Functions of two runs (path, name, start_line, end_line, token_count, tree_score) that are the same place, with `least_tokens` in both (j18)."""
+    key = ["path", "name", "start_line", "end_line"]
+    other = b.where(F.col("token_count") >= least_tokens).select(*key, F.col("token_count").alias("other_tokens"), F.col("tree_score").alias("other_score"))
+    return a.where(F.col("token_count") >= least_tokens).join(other, key)
+
+
+def top_set(rows: DataFrame, by: list[str], order: list[Column], value: str, k: int = 5) -> DataFrame:
+    """(by, top): the set of the k first values of each group (o07, e04). The rank filter is applied in each task before the shuffle, and no group is collected whole."""
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k)
+    return first.groupBy(*by).agg(F.array_sort(F.collect_set(value)).alias("top"))
+
+
+def promotion_gate(files: DataFrame, functions: DataFrame, changes: DataFrame, repeats: DataFrame, by: list[str], least_rho: float = 0.98, most_difference: float = 1e-6, k: int = 5) -> DataFrame:
+    """Whether a scoring run may replace another, per group `by`, with what it rests on (a22).
+
+    files and functions: (by, id, old, new) scores of both runs; changes: (by, id, old, new) before
+    and after differences of both runs; repeats: (by, id, run, value). Promoted if both rank
+    correlations are at least_rho or more, the k files with the greatest scores are the same, no
+    change has opposite signs, and repetitions differ by most_difference at most. What cannot be
+    measured does not pass; no change, and no repetition, passes.
+    """
+    rho = lambda df, name: spearman(df, "old", "new", by).withColumnRenamed("rho", name)
+    top = lambda c: top_set(files, by, [F.col(c).desc(), F.col("id")], "id", k)
+    tops = top("old").join(top("new").withColumnRenamed("top", "_new"), by).select(*by, (F.col("top") == F.col("_new")).alias("top_kept"))
+    signs = changes.groupBy(*by).agg(F.count_if(F.signum("old") * F.signum("new") < 0).alias("reversals"))
+    most = repeat_difference(repeats, "value", [*by, "id"], "run").groupBy(*by).agg(F.max("most").alias("difference"))
+    out = rho(files, "file_rho").join(rho(functions, "function_rho"), by, "left").join(tops, by, "left").join(signs, by, "left").join(most, by, "left")
+    out = out.withColumns({"reversals": F.coalesce("reversals", F.lit(0)), "difference": F.coalesce("difference", F.lit(0.0))})
+    passes = (F.col("file_rho") >= least_rho) & (F.col("function_rho") >= least_rho) & F.col("top_kept") & (F.col("reversals") == 0) & (F.col("difference") <= most_difference)
+    return out.withColumn("promoted", F.coalesce(passes, F.lit(False)))

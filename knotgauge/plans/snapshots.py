@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars as sc
 from ..functions.globs import any_glob_regex, glob_regex, prunes_directory
 from ..operators import compare as cp
 from ..operators import rules as ru
+from ..operators.ranks import global_place, text_lead
 from .registry import query, table
 
 FINGERPRINT = "f" * 64
@@ -191,14 +191,14 @@ def leaders(spark, sf_dir):
 @query("o03_changed_order", f"{W}, {CHANGES}, d AS (SELECT path, head - base AS absolute FROM full_chg) SELECT path, row_number() OVER (ORDER BY absolute IS NULL, abs(absolute) DESC, path) AS place FROM d")
 def changed_order(spark, sf_dir):
     rows = changed(spark, sf_dir)
-    order = Window.orderBy(F.col("absolute").isNull(), F.abs("absolute").desc_nulls_last(), "path")
-    return rows.select("path", F.row_number().over(order).cast("long").alias("place"))
+    lead = F.coalesce(F.abs("absolute"), F.lit(-1.0))
+    return global_place(rows, lead, [lead.desc(), F.col("path")], "place").select("path", "place")
 
 
 @query("o04_changed_by_path", f"{W}, {CHANGES} SELECT path, row_number() OVER (ORDER BY path, status) AS place FROM full_chg")
 def changed_by_path(spark, sf_dir):
     rows = change_rows(spark, sf_dir).withColumn("path", F.coalesce("new_path", "old_path"))
-    return rows.select("path", F.row_number().over(Window.orderBy("path", "status")).cast("long").alias("place"))
+    return global_place(rows, -text_lead(F.col("path")), [F.col("path"), F.col("status")], "place").select("path", "place")
 
 
 @query("o08_largest_change", f"{W}, {CHANGES}, d AS (SELECT path, head - base AS absolute FROM full_chg WHERE head - base <> 0) SELECT path, absolute FROM d ORDER BY abs(absolute) DESC, absolute DESC, path LIMIT 1")
@@ -232,7 +232,7 @@ def distinct_blobs(spark, sf_dir):
 
 @query("o05_largest_first", f"{W} SELECT key, row_number() OVER (ORDER BY size DESC, key) AS place FROM items")
 def largest_first(spark, sf_dir):
-    return cp.items(inventories(spark, sf_dir)).select("key", F.row_number().over(Window.orderBy(F.col("size").desc(), "key")).cast("long").alias("place"))
+    return global_place(cp.items(inventories(spark, sf_dir)), F.col("size"), [F.col("size").desc(), F.col("key")], "place").select("key", "place")
 
 
 def probed(spark, sf_dir):
@@ -292,39 +292,6 @@ def lru(spark, sf_dir):
     return cp.evict_least_recent(rows, 900, 50).select("cache", "entry_id", "evicted")
 
 
-@query("k09_latest_entry", "SELECT user_id AS key, max(ts) AS stored_at, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
-def latest_entry(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("stored_at"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-
-
-@query("a23_entries_by_abi", "SELECT event_type AS abi, count(*) AS n FROM events GROUP BY event_type")
-def by_abi(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("abi")).agg(F.count("*").alias("n"))
-
-
-@query("a24_cache_accounting", "SELECT user_id AS cache, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS n_bytes, min(ts) + INTERVAL 20 DAY AS next_expiry FROM events GROUP BY user_id")
-def accounting(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("cache")).agg(F.count("*").alias("n"), F.sum(F.floor("value").cast("long")).alias("n_bytes"), (F.min("ts") + F.expr("interval 20 days")).alias("next_expiry"))
-
-
-@query("s11_entry_reader", "SELECT event_id, ts FROM events WHERE event_type = 'click' AND CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) >= 50")
-def entry_reader(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k bigint")["k"])
-    return rows.where((F.col("event_type") == "click") & (F.col("k") >= 50)).select("event_id", "ts")
-
-
-@query("k14_publication_marker", "SELECT o_custkey AS target, max(o_orderkey) AS ordinal, arg_max(o_orderpriority, o_orderkey) AS marker FROM orders GROUP BY o_custkey")
-def publication(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("target")).agg(F.max("o_orderkey").alias("ordinal"), F.max_by("o_orderpriority", "o_orderkey").alias("marker"))
-
-
-@query("i09_publication_order", "SELECT o_orderkey, o_orderkey >= max(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS accepted FROM orders")
-def publication_order(spark, sf_dir):
-    seen = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") >= F.max("o_orderkey").over(seen)).alias("accepted"))
-
-
 PACKED = """WITH RECURSIVE todo AS (SELECT p_brand AS grp, CAST(p_partkey AS VARCHAR) AS key, CAST(p_size AS BIGINT) AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, CAST(p_partkey AS VARCHAR)) AS n, least(4, count(*) OVER (PARTITION BY p_brand)) AS bins FROM part),
 step AS (SELECT grp, n, key, size, 0 AS bin, [size, CASE WHEN bins > 1 THEN 0 ELSE 1000000000 END, CASE WHEN bins > 2 THEN 0 ELSE 1000000000 END, CASE WHEN bins > 3 THEN 0 ELSE 1000000000 END]::BIGINT[] AS load FROM todo WHERE n = 1
   UNION ALL SELECT t.grp, t.n, t.key, t.size, list_position(s.load, list_min(s.load)) - 1, list_transform(s.load, lambda x, i: CASE WHEN i = list_position(s.load, list_min(s.load)) THEN x + t.size ELSE x END) FROM step s JOIN todo t ON t.grp = s.grp AND t.n = s.n + 1)
@@ -440,12 +407,6 @@ def valid_results(spark, sf_dir):
     return rows.select("key", cp.valid_result(F.lit(FINGERPRINT)).alias("ok"))
 
 
-@query("v07_blob_digest", "SELECT doc_id, sha256(text) AS sha256, TRUE AS same FROM documents")
-def blob_digest(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.sha2("text", 256).alias("sha256"), (F.sha2("text", 256) == F.sha2(F.decode(F.encode("text", "UTF-8"), "UTF-8"), 256)).alias("same"))
-
-
 @query("a25_set_digest", "SELECT o_custkey, sha256(string_agg(CAST(o_orderkey AS VARCHAR), chr(0) ORDER BY CAST(o_orderkey AS VARCHAR))) AS digest FROM orders GROUP BY o_custkey")
 def set_digest(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(sc.set_digest(F.collect_list(F.col("o_orderkey").cast("string"))).alias("digest"))

@@ -92,27 +92,13 @@ def bootstrap(spark, sf_dir):
     return st.bootstrap_interval(rows, "p_size", "p_retailprice", ["g"])
 
 
-@query("a21_repeat_difference", "WITH r AS (SELECT o_custkey, o_orderpriority AS run, avg(o_totalprice) AS v FROM orders GROUP BY o_custkey, o_orderpriority) SELECT o_custkey, round(max(v) - min(v), 7) AS most FROM r GROUP BY o_custkey")
-def repeats(spark, sf_dir):
-    runs = table(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("run")).agg(F.avg("o_totalprice").alias("v"))
-    return runs.groupBy("o_custkey").agg(F.round(F.max("v") - F.min("v"), 7).alias("most"))
-
-
-@query("a22_promotion_gate", f"WITH {RANKS}, c AS (SELECT g, corr(q, p) AS rho FROM r GROUP BY g), t AS (SELECT g, list(p ORDER BY p DESC)[1:5] AS a, list(p ORDER BY q DESC, p DESC)[1:5] AS b FROM i GROUP BY g) SELECT g, rho >= 0.5 AS rank_ok, len(list_intersect(a, b)) >= 3 AS top_ok FROM c JOIN t USING (g)")
-def gate(spark, sf_dir):
-    rows = items(spark, sf_dir)
-    rho = st.spearman(rows, "q", "p", ["g"])
-    top = lambda k: F.transform(F.slice(F.sort_array(F.collect_list(k), asc=False), 1, 5), lambda x: x["p"])
-    tops = rows.groupBy("g").agg(top(F.struct("p")).alias("a"), top(F.struct("q", "p")).alias("b"))
-    return rho.join(tops, "g").select("g", (F.col("rho") >= 0.5).alias("rank_ok"), (F.size(F.array_intersect("a", "b")) >= 3).alias("top_ok"))
-
-
 TOP5 = f"{ITEMS}, t AS (SELECT g, list_distinct(list(CAST(p AS DOUBLE) ORDER BY p DESC)[1:5]) AS a, list_distinct(list(CAST(p AS DOUBLE) ORDER BY q DESC, p DESC)[1:5]) AS b FROM i GROUP BY g)"
 
 
 def tops(spark, sf_dir):
-    top = lambda k: F.array_distinct(F.transform(F.slice(F.sort_array(F.collect_list(k), asc=False), 1, 5), lambda x: x["p"]))
-    return items(spark, sf_dir).groupBy("g").agg(top(F.struct("p")).alias("a"), top(F.struct("q", "p")).alias("b"))
+    rows = items(spark, sf_dir).withColumn("p", F.col("p").cast("double"))
+    top = lambda name, *order: st.top_set(rows, ["g"], list(order), "p").withColumnRenamed("top", name)
+    return top("a", F.col("p").desc()).join(top("b", F.col("q").desc(), F.col("p").desc()), "g")
 
 
 @query("e04_top5_intersection", f"WITH {TOP5} SELECT g, CAST(len(list_intersect(a, b)) AS INT) AS shared FROM t")
@@ -125,19 +111,15 @@ def overlap(spark, sf_dir):
     return tops(spark, sf_dir).select("g", F.round(st.overlap_ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
 
 
-@query("j18_function_pairing", "WITH a AS (SELECT l_orderkey, l_linenumber, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey + 1 AS l_orderkey, l_linenumber, q FROM a) SELECT a.l_orderkey, a.l_linenumber, a.q AS q1, b.q AS q2 FROM a JOIN b USING (l_orderkey, l_linenumber) WHERE a.q >= 10 AND b.q >= 10")
-def function_pairs(spark, sf_dir):
-    a = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q1"))
-    b = a.select((F.col("l_orderkey") + 1).alias("l_orderkey"), "l_linenumber", F.col("q1").alias("q2"))
-    return a.join(b, ["l_orderkey", "l_linenumber"]).where("q1 >= 10 and q2 >= 10")
+_SHORT = "p_brand || CASE WHEN p_partkey % 3 = 0 THEN '/' ELSE '-' END || CAST(p_partkey AS VARCHAR)"
 
 
-@query("j19_suffix_pairing", "WITH a AS (SELECT p_partkey, 'root/' || p_brand || '/' || CAST(p_partkey AS VARCHAR) AS path FROM part), b AS (SELECT p_partkey AS other, p_brand || '/' || CAST(p_partkey AS VARCHAR) AS short FROM part WHERE p_partkey % 3 = 0) SELECT p_partkey, min(short) AS short FROM a JOIN b ON a.path = b.short OR ends_with(a.path, b.short) GROUP BY p_partkey")
+@query("j19_suffix_pairing", f"WITH a AS (SELECT p_partkey, 'root/' || p_brand || '/' || CAST(p_partkey AS VARCHAR) AS path FROM part), b AS (SELECT p_partkey AS other, {_SHORT} AS short FROM part) SELECT p_partkey, min(short) AS short FROM a JOIN b ON a.path = b.short OR ends_with(a.path, b.short) GROUP BY p_partkey")
 def suffix_pairs(spark, sf_dir):
-    """Equal, or one path ends with the other: each path's suffixes are its keys, so the join is an equi-join."""
+    """Equal, or one path ends with the other: each path's suffixes are its keys, so the join is an equi-join. Two thirds of the other run's paths are written in another way and find no partner."""
     part = table(spark, sf_dir, "part")
     path = F.concat(F.lit("root/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"))
-    short = part.where("p_partkey % 3 = 0").select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("short"))
+    short = part.select(F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, "/").otherwise("-"), F.col("p_partkey").cast("string")).alias("short"))
     tails = part.select("p_partkey", path.alias("path")).select("p_partkey", F.explode(F.expr("transform(sequence(1, length(path)), k -> substr(path, k))")).alias("short"))
     return tails.join(short.distinct(), "short").groupBy("p_partkey").agg(F.min("short").alias("short"))
 
@@ -149,12 +131,6 @@ def before_after(spark, sf_dir):
     return b.join(a, "o_custkey").select("o_custkey", F.round("b", 7).alias("before"), F.round("a", 7).alias("after"), F.round(F.col("a") - F.col("b"), 7).alias("delta"))
 
 
-@query("s10_jsonl_reader", "SELECT event_id, CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS BIGINT) AS k, TRUE AS parsed FROM events")
-def jsonl(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    return rows.select("event_id", "r.k", F.col("r._corrupt").isNull().alias("parsed"))
-
-
 @query("s12_bounded_reader", "SELECT doc_id, octet_length(encode(text)) <= 5000 AS admitted FROM documents")
 def bounded(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n"))
@@ -172,11 +148,6 @@ def models(spark, sf_dir):
     return model_registry(spark)
 
 
-@query("s18_run_records", "SELECT conv_id AS run, count(*) AS n_records, max(turn) AS last FROM conversations GROUP BY conv_id")
-def run_records(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("run")).agg(F.count("*").alias("n_records"), F.max("turn").alias("last"))
-
-
 _TAUS = " ".join(f"WHEN {k} THEN {m[5]}" for k, m in enumerate(MODELS))
 
 
@@ -220,23 +191,15 @@ def event_stream(spark, sf_dir):
     return lines.select(F.get_json_object("line", "$.event").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("k07_worker_artifacts", "SELECT p_partkey % 4 AS worker_id, count(*) AS n_keys, CAST(sum(p_size) AS BIGINT) AS bytes FROM part GROUP BY 1")
-def artifacts(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 4).alias("worker_id")).agg(F.sort_array(F.collect_list(F.col("p_partkey").cast("string"))).alias("keys"), F.sum("p_size").alias("bytes"))
-    doc = rows.select(F.to_json(F.struct(F.lit(2).alias("schema_version"), "worker_id", "keys", "bytes")).alias("d")).select(F.from_json("d", "worker_id bigint, keys array<string>, bytes bigint").alias("r"))
-    return doc.select("r.worker_id", F.size("r.keys").cast("long").alias("n_keys"), "r.bytes")
-
-
 # -- scalar functions
 
 
-@query("f01_hex", "SELECT doc_id, hex(encode(text[1:20])) AS encoded, TRUE AS back, TRUE AS odd_is_null FROM documents")
+@query("f01_hex", "SELECT doc_id, CAST(2 * octet_length(encode(text)) AS BIGINT) AS digits, md5(hex(encode(text))) AS encoded, TRUE AS back, TRUE AS odd_is_null FROM documents")
 def hexes(spark, sf_dir):
-    """Whole texts are encoded and decoded; as in the twin, the first 20 characters' digits are shown."""
+    """Whole texts, encoded and decoded; of the digits their number and their digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     e = F.hex(F.col("t").cast("binary"))
-    shown = e.substr(F.lit(1), 2 * F.octet_length(F.substring("t", 1, 20)))
-    return docs.select("doc_id", shown.alias("encoded"), (sc.decode_hex(e) == F.col("t").cast("binary")).alias("back"), sc.decode_hex(F.concat(e, F.lit("F"))).isNull().alias("odd_is_null"))
+    return docs.select("doc_id", F.length(e).cast("long").alias("digits"), F.md5(e.cast("binary")).alias("encoded"), (sc.decode_hex(e) == F.col("t").cast("binary")).alias("back"), sc.decode_hex(F.concat(e, F.lit("F"))).isNull().alias("odd_is_null"))
 
 
 @query("f02_utf8", "SELECT doc_id, TRUE AS valid, length(text) AS code_points, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents")
