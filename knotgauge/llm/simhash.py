@@ -14,6 +14,7 @@ ball.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -112,7 +113,8 @@ def ball_links(some: DataFrame, bits: int = 2 * RADIUS) -> DataFrame:
 
 def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, root) for all nodes of links (fp, other): alternating large-star and small-star steps until nothing changes."""
-    edges, seen = scratch.keep(links.select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v")), "edges-0"), None
+    tag = f"edges-{uuid.uuid4().hex}"
+    edges, seen = scratch.keep(links.select(F.greatest("fp", "other").alias("u"), F.least("fp", "other").alias("v")), f"{tag}-0"), None
     for k in range(1, most_rounds + 1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -120,8 +122,8 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))).select("col.u", "col.v").where("u <> v").distinct()
-        edges = scratch.keep(small, f"edges-{k}")
-        scratch.drop(f"edges-{k - 1}")
+        edges = scratch.keep(small, f"{tag}-{k}")
+        scratch.drop(f"{tag}-{k - 1}")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
         if now == seen:
             break
