@@ -248,8 +248,8 @@ def fit_line_crf(docs: DataFrame, labels: DataFrame) -> LineCrf:
     few = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "_id long"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(few, F.col("doc_id") == F.col("_id"), "left_semi")
     # repeated rows: one text of each id, whichever rows hold it
-    one = F.min_by(F.struct("x", "n"), F.struct(F.xxhash64("x", "n"), "x")).alias("s")
-    found = texts.mapInArrow(run, "doc_id long, k int, x binary, n binary").groupBy("doc_id", "k").agg(one).select("doc_id", "k", "s.x", "s.n").collect()
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = texts.mapInArrow(run, "doc_id long, k int, x binary, n binary").collect()
     rows = [(np.frombuffer(bytes(r.x), np.uint8).reshape(-1, len(FEATURES)).astype(float), np.frombuffer(bytes(r.n), "<i8"), chosen[r.doc_id] != 0) for r in sorted(found, key=lambda r: (r.doc_id, r.k))]
     return LineCrf().fit_latent(rows)
 
