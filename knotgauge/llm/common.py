@@ -12,6 +12,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -71,10 +72,13 @@ class Scratch:
     """Intermediate tables written to the shared folder, so that a lost executor costs no recomputation.
 
     keep() cuts lineage by a Parquet write and lets Spark drop the shuffle files behind it.
-    The tables go when the driver ends, or with drop().
+    The tables go when the driver ends, with drop(), or at the end of a released() block.
     """
 
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, tag: str):
+        Scratch.made.append(self)
         self.spark, self.root = spark, f"{shared_dir(spark)}/knotgauge-{tag}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
@@ -95,6 +99,18 @@ class Scratch:
         finally:
             conf.set(name, before)
 
+    @staticmethod
+    @contextlib.contextmanager
+    def released() -> Iterator[None]:
+        """What operators called in this block have kept goes at its end: for callers that write an operator's result before they go on."""
+        before = len(Scratch.made)
+        try:
+            yield
+        finally:
+            for scratch in Scratch.made[before:]:
+                scratch.drop()
+            del Scratch.made[before:]
+
     def drop(self, name: str = "") -> None:
         try:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
