@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import artifacts, documents, scoring, snapshots, statistics  # noqa: F401
+from . import artifacts, documents, scoring, snapshots, statistics, worktrees  # noqa: F401
 from .registry import PLANS, TWINS  # noqa: F401

@@ -1,5 +1,6 @@
 """Hand-computed scoring cases, and the declarative plan against a sequential reading on random input."""
 
+import hashlib
 import random
 
 import pytest
@@ -145,8 +146,11 @@ def test_levels_fold(spark):
     rng = random.Random(1)
     runs = [[rng.randrange(6) for _ in range(rng.randrange(1, 30))] for _ in range(40)]
     units = spark.createDataFrame([(k, i, d) for k, run in enumerate(runs) for i, d in enumerate(run)], "file_id long, seq long, depth long")
-    got = {r.file_id: r.lv for r in un.depths_in_order(units).selectExpr("file_id", f"{un.FOLD} as lv").collect()}
+    got = {}
+    for r in sorted(un.unit_nodes(units.withColumn("end_byte", units.seq)).collect(), key=lambda r: (r.file_id, r.seq)):
+        got.setdefault(r.file_id, []).append(r.level)
     assert got == {k: levels(run) for k, run in enumerate(runs)}
+    assert {r.file_id: (r.total_level, r.max_level) for r in un.score_trees(units).collect()} == {k: (sum(v), max(v)) for k, v in got.items()}
 
 
 def test_bootstrap_takes_all_rows(spark):
@@ -180,7 +184,8 @@ def test_hex_takes_whole_texts(spark, monkeypatch):
 
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
-    assert all(r.back and r.odd_is_null and docs[r.doc_id].hex().upper().startswith(r.encoded) for r in PLANS["f01_hex"](spark, sf).collect())
+    digest = lambda raw: hashlib.md5(raw.hex().upper().encode()).hexdigest()
+    assert all(r.back and r.odd_is_null and r.digits == 2 * len(docs[r.doc_id]) and r.encoded == digest(docs[r.doc_id]) for r in PLANS["f01_hex"](spark, sf).collect())
     decode = statistics.sc.decode_hex
     monkeypatch.setattr(statistics.sc, "decode_hex", lambda e: decode(e.substr(1, 160)))
     assert all(r.back == (len(docs[r.doc_id]) <= 80) for r in PLANS["f01_hex"](spark, sf).collect())

@@ -10,7 +10,7 @@ from knotgauge.plans import PLANS, TWINS
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-SOME = ["a01_token_metrics", "i04_tree_levels", "j17_parent_links", "p02_category", "p03_excluded", "p07_extension", "w07_inference_windows", "a18_spearman", "i05_longest_first_packing", "w10_lru_eviction", "a15_softmax_statistics", "j09_changes", "p21_tau_resolution", "a02_lm_cc", "a06_function_metrics", "i01_boundaries", "k04_tree_document", "s10_jsonl_reader", "s11_entry_reader", "v03_byte_cover", "v05_plan_validation", "v06_artifact_report", "v07_blob_digest", "i09_publication_order", "p22_settings_validation", "a22_promotion_gate", "w01_global_rank", "u02_language_preprocessing"]
+SOME = ["a01_token_metrics", "i04_tree_levels", "j17_parent_links", "p02_category", "p03_excluded", "p07_extension", "w07_inference_windows", "a18_spearman", "i05_longest_first_packing", "w10_lru_eviction", "a15_softmax_statistics", "j09_changes", "p21_tau_resolution", "a02_lm_cc", "i01_boundaries", "k04_tree_document", "s10_jsonl_reader", "s11_entry_reader", "v03_byte_cover", "v06_artifact_report", "v07_blob_digest", "i09_publication_order", "p22_settings_validation", "a22_promotion_gate", "u02_language_preprocessing", "s01_project_discovery", "s02_worktree_scan", "s04_explicit_files", "s07_blob_reader", "s08_file_at_revision", "s09_revisions", "s16_rules_file", "s19_response_file", "i08_section_budget", "k02_text_report"]
 
 
 def plain(value):

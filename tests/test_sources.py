@@ -105,6 +105,21 @@ def test_cache_table(spark, tmp_path):
     assert cache.probe(items, dt.datetime(2024, 2, 20))[0].count() == 0
 
 
+def test_cache_gives_up_the_oldest(spark, tmp_path):
+    cache = CacheTable(spark, str(tmp_path / "c"), "n long, v string")
+    day = lambda n: dt.datetime(2024, 1, n)
+    row = lambda *rows: spark.createDataFrame(list(rows), "key string, n long, v string")
+    assert cache.get("a") is None
+    assert cache.put(row(("a", 40, "x"), ("b", 30, "y")), day(1), "n", 100) == 0
+    assert cache.put(row(("c", 30, "z")), day(2), "n", 100) == 0
+    assert cache.put(row(("d", 35, "w")), day(3), "n", 100) == 1 and cache.get("a") is None and cache.get("b")["v"] == "y"
+    assert cache.put(row(("e", 500, "w")), day(4), "n", 100) == 0 and cache.get("e") is None
+    assert cache.put(row(("b", 31, "new")), day(5), "n", 100) == 0 and cache.get("b")["v"] == "new"
+    assert sorted(r.key for r in cache.latest().collect()) == ["b", "c", "d"]
+    with pytest.raises(ValueError):
+        cache.get("b", "n", 30)
+
+
 def test_provider_registry(spark):
     made = []
     providers.register("bytes", lambda: made.append(1) or providers.from_scorer(lambda b: [(b[i : i + 1], float(i)) for i in range(len(b))]))
