@@ -116,12 +116,17 @@ _SHORT = "p_brand || CASE WHEN p_partkey % 3 = 0 THEN '/' ELSE '-' END || CAST(p
 
 @query("j19_suffix_pairing", f"WITH a AS (SELECT p_partkey, 'root/' || p_brand || '/' || CAST(p_partkey AS VARCHAR) AS path FROM part), b AS (SELECT p_partkey AS other, {_SHORT} AS short FROM part) SELECT p_partkey, min(short) AS short FROM a JOIN b ON a.path = b.short OR ends_with(a.path, b.short) GROUP BY p_partkey")
 def suffix_pairs(spark, sf_dir):
-    """Equal, or one path ends with the other: each path's suffixes are its keys, so the join is an equi-join. Two thirds of the other run's paths are written in another way and find no partner."""
+    """Equal, or one path ends with the other: each path's suffixes are its keys, so the join is an equi-join. Two thirds of the other run's paths are written in another way and find no partner.
+
+    Only suffixes of a length that the other run has are made. Both sides grow with the table: none is broadcast.
+    """
     part = table(spark, sf_dir, "part")
     path = F.concat(F.lit("root/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"))
     short = part.select(F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, "/").otherwise("-"), F.col("p_partkey").cast("string")).alias("short"))
-    tails = part.select("p_partkey", path.alias("path")).select("p_partkey", F.explode(F.expr("transform(sequence(1, length(path)), k -> substr(path, k))")).alias("short"))
-    return tails.join(short.distinct(), "short").groupBy("p_partkey").agg(F.min("short").alias("short"))
+    lengths = short.where("short is not null").agg(F.collect_set(F.length("short")).alias("ls"))
+    cut = F.expr("transform(filter(ls, n -> n <= length(path)), n -> substr(path, length(path) - n + 1))")
+    tails = part.select("p_partkey", path.alias("path")).crossJoin(F.broadcast(lengths)).select("p_partkey", F.explode(cut).alias("short"))
+    return tails.join(short.distinct().hint("merge"), "short").groupBy("p_partkey").agg(F.min("short").alias("short"))
 
 
 @query("j20_before_after", "WITH r AS (SELECT o_custkey, o_orderstatus AS s, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2) SELECT b.o_custkey, round(b.v, 7) AS before, round(a.v, 7) AS after, round(a.v - b.v, 7) AS delta FROM r b JOIN r a ON a.o_custkey = b.o_custkey AND b.s = 'O' AND a.s = 'F'")
