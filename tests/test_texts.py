@@ -57,3 +57,7 @@ def test_a28(spark, odd):
 
 def test_j04(spark, odd):
     holds(spark, odd, "j04_unit_depth")
+
+
+def test_o07(spark, odd):
+    holds(spark, odd, "o07_top_documents")
