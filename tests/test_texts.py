@@ -63,5 +63,16 @@ def test_o07(spark, odd):
     holds(spark, odd, "o07_top_documents")
 
 
+def test_o07_order(spark, tmp_path):
+    """Rows in the twin's order, where equal texts stand on both sides of place 20; no row is dealt out but the top ones of each task."""
+    texts = ["a. b" + ". zz" * (i % 4) + "\n~~ }{. c\n" * 5 for i in range(60)]
+    pq.write_table(pa.table({"doc_id": pa.array(range(59, -1, -1), pa.int64()), "text": texts, "lang": ["en"] * 60, "source": ["web"] * 60}), tmp_path / "documents.parquet", row_group_size=7)
+    frame, want = PLANS["o07_top_documents"](spark, str(tmp_path)), twin(tmp_path, "o07_top_documents")
+    assert [tuple(r) for r in frame.select(*want.columns).collect()] == list(want.itertuples(index=False, name=None))
+    assert want["tree_score"].nunique() == 2  # 15 of the first kind, 5 of the 15 of the next
+    plan = frame._jdf.queryExecution().sparkPlan().toString()
+    assert "TakeOrderedAndProject" in plan and not re.search("Exchange|Window|Generate|Join", plan)
+
+
 def test_p18(spark, odd):
     holds(spark, odd, "p18_score_mode")
